@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thesaurion.llm.components import groups
+from thesaurion.llm.containers import pack, sizes
+from thesaurion.llm.leaks import LEAST, MATCH, leaks
 from thesaurion.llm.topn import top_n
+from thesaurion.llm.vectors import similar, usable
 from thesaurion.runtime import Scratch, blank, table, trim_ws
 
 
@@ -36,7 +39,51 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(match_links(spark, sf_dir), Scratch(spark, "p5"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = usable(table(spark, sf_dir, "embedding_record"), "concept_id", "vector", 64)
+    near = similar(vectors, 5, 64, floor=0.9, beam=24, probes=3, gap=0.12)
+    return near.select(F.least("a", "b").alias("concept_id_a"), F.greatest("a", "b").alias("concept_id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other concepts of every concept."""
+    vectors = usable(table(spark, sf_dir, "embedding_record"), "concept_id", "vector", 64)
+    return similar(vectors, 5, 64).select(F.col("a").alias("concept_id"), "rnk", F.col("b").alias("neighbour_id"), F.round("sim", 6).alias("cosine"))
+
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+CAPACITY = 4096
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    packed = pack(sizes(docs, "doc_id", "text", TOKENIZER), CAPACITY, Scratch(spark, "p8"))
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), Scratch(spark, "p9"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where(F.col("longest") >= LEAST).select("doc_id", "item_id")
+
+
+def p9_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also edited and paraphrased copies: alignments over ten words or more that reach 0.8 of the full score."""
+    close = F.col("score") >= 0.8 * MATCH * F.greatest("span", F.lit(LEAST))
+    return _leaks(spark, sf_dir).where(close).select("doc_id", "item_id", "score", "span", "longest")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_similar": p9_similar,
+}
 
 ORACLES = {
     "p2_found": """with b as (select from_id, to_id, max(score) s from similar_snomed_concept
