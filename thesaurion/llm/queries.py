@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thesaurion.llm.components import groups
 from thesaurion.llm.containers import pack, sizes
 from thesaurion.llm.leaks import LEAST, MATCH, leaks
+from thesaurion.llm.subjects import SHARE, subject_shares
 from thesaurion.llm.topn import top_n
 from thesaurion.llm.vectors import similar, usable
 from thesaurion.runtime import Scratch, blank, table, trim_ws
@@ -75,7 +76,25 @@ def p9_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where(close).select("doc_id", "item_id", "score", "span", "longest")
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = sorted(r[0] for r in table(spark, sf_dir, "subject_area").select("subject").collect())  # a fixed table of ten
+    docs, labels, items = (table(spark, sf_dir, t) for t in ("documents", "subject_label", "eval_item"))
+    return subject_shares(docs, labels, areas, Scratch(spark, "p10"), items)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).where(F.col("share") >= SHARE - 1e-9).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents that have it, and their sentences' share."""
+    found = _subjects(spark, sf_dir).where(F.col("share") >= SHARE - 1e-9)
+    return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("share"), 4).alias("mean_share"))
+
+
 QUERIES = {
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
