@@ -42,14 +42,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable(table(spark, sf_dir, "embedding_record"), "concept_id", "vector", 64)
-    near = similar(vectors, 5, 64, floor=0.9, beam=24, probes=3, gap=0.12)
+    near = similar(vectors, 5, 64, Scratch(spark, "p4"), floor=0.9, beam=12, probes=3, gap=0.12)
     return near.select(F.least("a", "b").alias("concept_id_a"), F.greatest("a", "b").alias("concept_id_b")).distinct()
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar other concepts of every concept."""
     vectors = usable(table(spark, sf_dir, "embedding_record"), "concept_id", "vector", 64)
-    return similar(vectors, 5, 64).select(F.col("a").alias("concept_id"), "rnk", F.col("b").alias("neighbour_id"), F.round("sim", 6).alias("cosine"))
+    return similar(vectors, 5, 64, Scratch(spark, "p4")).select(F.col("a").alias("concept_id"), "rnk", F.col("b").alias("neighbour_id"), F.round("sim", 6).alias("cosine"))
 
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"

@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SAMPLE = 20_000  #: vectors on which the centroids are fitted, those of least hash
+from thesaurion.runtime import Scratch
+
+SAMPLE = 20_000  #: vectors, about, on which the centroids are fitted, chosen by a hash of their name
 SHARD = 3_000  #: vectors per shard aimed at
 MOST = 2 * SHARD  #: a shard beyond this is divided
 DEGREE = 20  #: links kept of a vector by pruning
@@ -239,27 +241,46 @@ def shard_neighbours(names: np.ndarray, x: np.ndarray, home: np.ndarray, k: int,
     return names[a[keep]], names[b[keep]], s[keep]
 
 
+def _matrix(vec: pa.Array, dim: int) -> np.ndarray:
+    return vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
 def usable(records: DataFrame, name: str, vector: str, dim: int) -> DataFrame:
-    """(name long, vec) with dim finite components, not all zero, exact repeats once; the rest is no vector."""
-    rows = records.select(F.expr(f"try_cast(`{name}` as bigint)").alias("name"), F.col(vector).alias("vec"))
-    return rows.where("name is not null and vec is not null").where(F.coalesce(_fine(dim), F.lit(False))).distinct()
+    """(name long, vec) with dim finite components, not all zero; other vectors, and names that are no number, are none.
+    Repeats that are read together count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(1), dim)
+            keep = np.flatnonzero(np.isfinite(x).all(1) & (x != 0).any(1))
+            keep = keep[first_of(b.column(0).to_numpy()[keep], x[keep])]
+            yield b.take(pa.array(keep))
+
+    rows = records.select(F.expr(f"try_cast(`{name}` as bigint)").alias("name"), F.col(vector).cast("array<float>").alias("vec"))
+    rows = rows.where((F.size("vec") == dim) & F.col("name").isNotNull()).where(~F.exists("vec", lambda e: e.isNull()))
+    return rows.mapInArrow(run, "name long, vec array<float>")
 
 
-def _fine(dim: int):
-    v = F.col("vec")
-    finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return (F.size(v) == dim) & finite & F.exists(v, lambda e: e != 0)
+def first_of(names: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of the first of each (name, vector)."""
+    code = np.ascontiguousarray(np.hstack([names.astype(np.int64)[:, None].view(np.uint8), np.ascontiguousarray(x, np.float32).view(np.uint8)]))
+    return np.sort(np.unique(code.view(np.dtype((np.void, code.shape[1]))).ravel(), return_index=True)[1]) if len(code) else np.array([], int)
 
 
-def similar(vectors: DataFrame, k: int, dim: int, floor: float = -1.0, beam: int = 64, probes: int = PROBES, gap: float = GAP) -> DataFrame:
+def similar(vectors: DataFrame, k: int, dim: int, scratch: Scratch, floor: float = -1.0, beam: int = 64, probes: int = PROBES, gap: float = GAP) -> DataFrame:
     """(a, b, sim, rnk): for each name a its k most similar other names b of cosine at least floor; ties by smaller b.
 
     vectors: name long, vec array<float> of dim components, as from `usable`; a name with several vectors has its best
     similarity. Approximate: what graph and shards leave out is measured in the tests; a high floor needs a shorter beam,
     since near copies are met early. No vectors give no rows."""
     spark = vectors.sparkSession
+    vectors = scratch.cut(vectors)
     n = vectors.count()
-    pick = vectors.orderBy(F.xxhash64("name", "vec"), "name").limit(SAMPLE).select("vec").collect() if n else []
+    pick = vectors.where(F.pmod(F.xxhash64("name"), F.lit(-(-n // SAMPLE))) == 0).select("vec").limit(2 * SAMPLE).collect() if n else []
+    if n and not pick:
+        pick = vectors.select("vec").limit(1).collect()
     if not pick:
         return spark.createDataFrame([], "a long, b long, sim double, rnk int")
     cents = centroids(unit(np.array([r["vec"] for r in pick])), -(-n // SHARD))
@@ -268,8 +289,7 @@ def similar(vectors: DataFrame, k: int, dim: int, floor: float = -1.0, beam: int
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            s = unit(x) @ cents.T
+            s = unit(_matrix(b.column(1), dim)) @ cents.T
             best = np.argsort(-s, 1)[:, :probes]
             top = np.take_along_axis(s, best, 1)
             ask = top >= top[:, :1] - gap
@@ -291,10 +311,10 @@ def similar(vectors: DataFrame, k: int, dim: int, floor: float = -1.0, beam: int
         routed = routed.withColumn("part", F.lit(0))
 
     def answer(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        x = t.column("vec").combine_chunks()
-        x = (x.flatten() if isinstance(x, pa.Array) else x.chunk(0).flatten()).to_numpy(zero_copy_only=False).reshape(-1, dim)
-        a, b, s = shard_neighbours(t.column("name").to_numpy(), x, t.column("home").to_numpy(), k, floor, beam)
+        x = np.concatenate([_matrix(c, dim) for c in t.column("vec").chunks])
+        names, home = t.column("name").to_numpy(), t.column("home").to_numpy()
+        one = first_of(names, x)
+        a, b, s = shard_neighbours(names[one], x[one], home[one], k, floor, beam)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64())})
 
     found = routed.groupBy("shard", "part").applyInArrow(answer, "a long, b long, sim double")
@@ -308,8 +328,7 @@ def _home_counts(cents: np.ndarray, dim: int):
         total = np.zeros(len(cents), np.int64)
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                total += np.bincount((unit(x) @ cents.T).argmax(1), minlength=len(cents))
+                total += np.bincount((unit(_matrix(b.column(1), dim)) @ cents.T).argmax(1), minlength=len(cents))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cents), dtype=np.int32)), pa.array(total)], names=["shard", "n"])
 
     return run
