@@ -52,11 +52,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame, scratch: Scratch) ->
 
     refs: kind, ref_table, key string, feed_seq, received_at, yyyymm int. parents: kind, key, deleted boolean,
     first_at timestamp, one row per key. Null keys refer to nothing. Repeated rows each come out. A null received_at
-    is never late; its rows are compared with all parents. Empty sides are allowed. A key with a third of all rows
+    is never late; its rows are compared with all parents. Further columns are carried along, but one named reason gives
+    way. Empty sides are allowed. A key with a third of all rows
     makes one bit per month, its rows are joined apart (see keyed_join)."""
-    refs = refs.where(F.col("key").isNotNull())
-    period = F.coalesce(F.col("yyyymm"), F.lit(0))
-    marks = refs.select("kind", "key", period.alias("period")).distinct()
+    columns = refs.columns
+    refs = refs.where(F.col("key").isNotNull()).select("kind", "key", F.coalesce("yyyymm", F.lit(0)).alias("period"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    marks = refs.select("kind", "key", "period").distinct()
     ids = encode(marks.select("kind", "key").unionByName(parents.select("kind", "key")), scratch)
     usable = parents.where(~F.coalesce("deleted", F.lit(False))).select("kind", "key", F.coalesce(F.date_format("first_at", "yyyyMM").cast("int"), F.lit(-1)).alias("period"))
     left = _bitmaps(marks.join(ids, ["kind", "key"]), ["kind", "period"])
@@ -70,10 +71,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame, scratch: Scratch) ->
     named = suspects.join(ids, ["kind", "kid"]).join(parents, ["kind", "key"], "left")
     named = named.select("kind", "key", "period", "deleted", "first_at", F.col("deleted").isNotNull().alias("_known"))
     named = scratch.cut(named)
-    rows = keyed_join(refs.withColumn("period", period), named, ["kind", "key", "period"])
+    rows = keyed_join(refs, named, ["kind", "key", "period"])
     reason = (
         F.when(~F.col("_known"), "missing")
         .when(F.col("deleted"), "deleted")
-        .when(F.col("first_at") > F.col("received_at"), "late")
+        .when(F.col("first_at") > F.col("row.received_at"), "late")
     )
-    return rows.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*refs.columns, "reason")
+    kept = rows.select("row", reason.alias("why")).where(F.col("why").isNotNull())
+    return kept.select(*[F.col("row")[c].alias(c) for c in columns if c != "reason"], F.col("why").alias("reason"))

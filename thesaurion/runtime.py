@@ -33,7 +33,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
-        self._paths: dict[int, str] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write df, return it read back; one pass over its plan."""
@@ -41,7 +40,6 @@ class Scratch:
         self._made += 1
         df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
         back._scratch_path = path
         return back
 
