@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thesaurion.llm.words import mended, words
+from thesaurion.llm.words import mended, plain
 from thesaurion.runtime import Scratch
 
 #: Frequent function words by which a text's language is told.
@@ -43,7 +43,8 @@ SHARE = 0.2  #: share of a document's sentences
 WEIGHT = 0.5  #: of the topical words of a sentence that must belong to the subject
 ETA, PRIOR = 0.02, 0.1
 
-_END = re.compile(r"(?<=[.!?。])[\"'”’)\]]*\s+")
+#: A word, or the end of a sentence: an end mark, perhaps closing quotes or brackets, before white space or the end.
+_TOKEN = re.compile(r"[^\W_]+|[.!?。][\"'”’)\]]*(?=\s|$)")
 _BLOCK = re.compile(r"\n\s*\n")
 _CLOSED = re.compile(r"[.!?。][\"'”’)\]*_]*\s*$")
 _TAG = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|&#\d{1,5};")
@@ -52,23 +53,50 @@ _TOLD = {w: k for k, ws in LANGUAGES.items() for w in ws.split()}
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence; wordless ones left out, and headings: blocks without an end mark before further text."""
-    blocks = [b for b in _BLOCK.split(_TAG.sub(" ", mended(text))) if b.strip()]
-    kept = [b for b in blocks[:-1] if _CLOSED.search(b)] + blocks[-1:]
-    return [w for b in kept for w in map(words, _END.split(b)) if w]
+    text = mended(text)
+    if "<" in text or "&" in text:
+        text = _TAG.sub(" ", text)
+    blocks = [b for b in _BLOCK.split(text) if b.strip()] if "\n" in text else [text]
+    out = []
+    for i, b in enumerate(blocks):
+        if i + 1 < len(blocks) and not _CLOSED.search(b):
+            continue
+        found = _TOKEN.findall(plain(b))
+        at = 0
+        for end in [k for k, t in enumerate(found) if t[0] in ".!?。"]:
+            if end > at:
+                out.append(found[at:end])
+            at = end + 1
+        if at < len(found):
+            out.append(found[at:])
+    return out
 
 
 def language(found: list[list[str]]) -> str:
     """The language most of whose function words occur; the first listed if none does."""
-    n = Counter(_TOLD[w] for s in found for w in s if w in _TOLD)
+    n: Counter = Counter()
+    for s in found:
+        n.update(map(_TOLD.get, s))
     return max(LANGUAGES, key=lambda k: n[k])
 
 
-def own_sentences(text: str, tests: frozenset) -> list[list[str]]:
-    """Sentences without those of which half the word triples stand in test items."""
-    found = sentences(text)
-    if not tests:
-        return found
-    return [s for s in found if len(s) < 3 or 2 * sum(map(tests.__contains__, zip(s, s[1:], s[2:]))) < len(s) - 2]
+@dataclass(frozen=True)
+class Tests:
+    """Word triples of the test items, and their words."""
+
+    triples: frozenset
+    vocab: frozenset
+
+    @staticmethod
+    def of(texts: list[str]) -> Tests:
+        triples = frozenset(g for t in texts for s in sentences(t) for g in zip(s, s[1:], s[2:]))
+        return Tests(triples, frozenset(w for g in triples for w in g))
+
+    def has(self, s: list[str]) -> bool:
+        """Whether half of a sentence's word triples stand in test items; then half of its words do, which is told sooner."""
+        if len(s) < 3 or 2 * sum(map(self.vocab.__contains__, s)) < len(s):
+            return False
+        return 2 * sum(map(self.triples.__contains__, zip(s, s[1:], s[2:]))) >= len(s) - 2
 
 
 @dataclass
@@ -112,44 +140,61 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text")
 
 
-def count_words(docs: DataFrame, tests: frozenset) -> DataFrame:
+def cleaned(docs: DataFrame, tests: Tests) -> DataFrame:
+    """(doc_id, lang, words): each document's own sentences, a line each, words parted by blanks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, text in zip(b["doc_id"].tolist(), b["text"]):
+                found = [s for s in sentences(text) if not tests.has(s)]
+                rows.append((doc, language(found), "\n".join(map(" ".join, found))))
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "words"])
+
+    return docs.mapInPandas(run, "doc_id long, lang string, words string")
+
+
+def count_words(clean: DataFrame) -> DataFrame:
     """(lang, word, n): documents of a language that hold a word, counted within each task first; word '' counts them all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
         for b in batches:
-            for text in b["text"]:
-                found = own_sentences(text, tests)
-                n[language(found)].update({"", *(w for s in found for w in s)})
+            for lang, text in zip(b["lang"], b["words"]):
+                n[lang].update({"", *text.split()})
         rows = [(k, w, v) for k, c in n.items() for w, v in c.items()]
         yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
-    return docs.select("text").mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return clean.select("lang", "words").mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def bags(docs: DataFrame, tests: frozenset, vocab: dict[str, dict[str, int]]) -> DataFrame:
+def bags(clean: DataFrame, vocab: dict[str, dict[str, int]]) -> DataFrame:
     """(doc_id, lang, word, cut): the vocabulary words of each document in order, and where its sentences end in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"].tolist(), b["text"]):
-                found = own_sentences(text, tests)
-                lang = language(found)
+            for doc, lang, text in zip(b["doc_id"].tolist(), b["lang"], b["words"]):
                 get = vocab.get(lang, {}).get
-                ids = [[i for i in map(get, s) if i is not None] for s in found]
-                rows.append((doc, lang, [i for s in ids for i in s], np.cumsum([len(s) for s in ids]).tolist()))
+                word, cut = [], []
+                for s in text.split("\n") if text else ():
+                    word += [i for i in map(get, s.split(" ")) if i is not None]
+                    cut.append(len(word))
+                rows.append((doc, lang, word, cut))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "word", "cut"])
 
-    return docs.mapInPandas(run, "doc_id long, lang string, word array<int>, cut array<int>")
+    return clean.mapInPandas(run, "doc_id long, lang string, word array<int>, cut array<int>")
+
+
+def _flat(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each element, elements) of a column of arrays."""
+    size = np.array([len(r) for r in rows], np.int64)
+    return np.repeat(np.arange(len(rows)), size), np.concatenate(rows.to_list()).astype(np.int64) if size.sum() else np.array([], np.int64)
 
 
 def _counts(rows: pd.Series, v: int) -> np.ndarray:
-    out = np.zeros((len(rows), v), np.float32)
-    size = np.array([len(r) for r in rows])
-    if size.sum():
-        np.add.at(out, (np.repeat(np.arange(len(rows)), size), np.concatenate(rows.to_list())), 1)
-    return out
+    row, word = _flat(rows)
+    return np.bincount(row * v + word, minlength=len(rows) * v).reshape(len(rows), v).astype(np.float32)
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -264,29 +309,36 @@ def assign(bagged: DataFrame, models: dict[str, Model], subjects: int) -> DataFr
                 for lo in range(0, len(part), 1000):
                     some = part.iloc[lo : lo + 1000]
                     theta, _ = infer(_counts(some["word"], w.shape[1]), w)
-                    for doc, word, cut, t in zip(some["doc_id"].tolist(), some["word"], some["cut"], theta):
-                        if not len(word):
-                            continue
-                        p = (t[:, None] * w[:, word]).T
-                        p = (p / p.sum(1, keepdims=True)) @ of
-                        sums = np.vstack([np.zeros(subjects, np.float32), np.cumsum(p, 0)])[np.r_[0, cut]]
-                        mass, size = np.diff(sums, axis=0), np.diff(np.r_[0, cut])
-                        hit = (mass >= WEIGHT * size[:, None]) & (mass >= WEIGHT)
-                        share = hit.sum(0) / len(cut)
-                        out += [(doc, int(i), float(share[i])) for i in np.flatnonzero(share)]
+                    row, word = _flat(some["word"])
+                    p = theta[row] * w[:, word].T
+                    p = (p / p.sum(1, keepdims=True)) @ of
+                    doc, cut = _flat(some["cut"])
+                    if not len(doc):
+                        continue
+                    # ends of sentences in the words of all these documents
+                    end = cut + np.r_[0, np.cumsum([len(x) for x in some["word"]])][doc]
+                    begin = np.r_[0, end[:-1]]
+                    total = np.vstack([np.zeros((1, subjects)), np.cumsum(p, 0, dtype=np.float64)])
+                    mass, size = total[end] - total[begin], (end - begin)[:, None]
+                    hit = (mass >= WEIGHT * size - 1e-6) & (mass >= WEIGHT - 1e-6)
+                    share = np.zeros((len(some), subjects))
+                    np.add.at(share, doc, hit)
+                    share /= np.maximum(np.bincount(doc, minlength=len(some)), 1)[:, None]
+                    r, c = np.nonzero(share)
+                    out += zip(some["doc_id"].to_numpy()[r].tolist(), c.tolist(), share[r, c].tolist())
             yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
 
     return bagged.mapInPandas(run, "doc_id long, subject int, share double")
 
 
-def test_grams(items: DataFrame | None, most: int = 50_000_000) -> frozenset:
-    """Word triples of the test items, a fixed table; its size is checked, as every task holds it."""
+def test_items(items: DataFrame | None, most: int = 50_000_000) -> Tests:
+    """The test items, a fixed table; its size is checked, as every task holds it."""
     if items is None:
-        return frozenset()
+        return Tests.of([])
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > most:
         raise ValueError(f"test items of {size} characters: pass them in parts of at most {most}")
-    return frozenset(g for r in items.where("text is not null").select("text").toLocalIterator() for s in sentences(r["text"]) for g in zip(s, s[1:], s[2:]))
+    return Tests.of([r["text"] for r in items.where("text is not null").select("text").toLocalIterator()])
 
 
 def _any(conditions: list) :
@@ -304,11 +356,10 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[str], scratch
     subject; rows with a null doc_id are left out; a text of any length is read whole. Rows that repeat a doc_id are
     documents in their own right. Other columns are not read. Without labels no topic has a subject, hence no rows."""
     number = {a.casefold(): i for i, a in enumerate(areas)}
-    tests = test_grams(items)
     known = labels.where("doc_id is not null").select("doc_id", F.lower(F.trim("subject")).alias("s")).where(F.col("s").isin(*number))
     known = known.groupBy("doc_id").agg(F.collect_set(F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("s"))).alias("own"))
-    rows = _documents(docs)
-    counted = scratch.cut(count_words(rows, tests))
+    clean = scratch.cut(cleaned(_documents(docs), test_items(items)))
+    counted = scratch.cut(count_words(clean))
     total = {r["lang"]: r["n"] for r in counted.where("word = ''").collect()}
     within = [(F.col("lang") == k) & F.col("n").between(max(LEAST_DOCS, math.ceil(RAREST * n)), COMMONEST * n) for k, n in total.items()]
     by: dict[str, list] = {k: [] for k in total}
@@ -318,7 +369,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[str], scratch
             by[r["lang"]].append((r["word"], r["n"]))
     by = {k: sorted(v) for k, v in by.items() if v}
     vocab = {k: {w: i for i, (w, _) in enumerate(v)} for k, v in by.items()}
-    bagged = scratch.cut(bags(rows, tests, vocab))
+    bagged = scratch.cut(bags(clean, vocab))
     seen = examples(bagged, known, {k: len(v) for k, v in vocab.items()}, len(areas))
     begun = {k: start(vocab[k], np.array([n for _, n in by[k]], np.float64), seen[k]) for k in by}
     models = fit(bagged, {k: m for k, (m, _) in begun.items()})
