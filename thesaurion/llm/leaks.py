@@ -3,8 +3,8 @@
 Rare word n-grams of the test items seed candidate pairs of document and item; Smith-Waterman alignment of the words
 around a seed scores exact, partial, edited and paraphrased copies, and counts the longest run of equal words.
 
-Every stretch of `least` item words contributes as seed its n-gram that is rarest in the corpus, so a document that
-holds `least` consecutive words of an item always meets it. Items are taken in blocks of bounded size, one pass over
+Every stretch of STRETCH item words contributes as seed its n-gram that is rarest in the corpus, so a document that
+holds STRETCH consecutive words of an item always meets it. Items are taken in blocks of bounded size, one pass over
 the corpus for each block, so that what a task holds of the items is bounded.
 """
 
@@ -22,6 +22,7 @@ from thesaurion.llm.words import words
 from thesaurion.runtime import Scratch
 
 GRAM = 5  #: words of a seed
+STRETCH = 7  #: words of an item within which one n-gram is a seed
 LEAST = 10  #: words that must agree for an exact leak
 BLOCK_WORDS = 1_000_000  #: item words held by a task at once
 MATCH, MISS, GAP = 2, -1, -1
@@ -89,17 +90,18 @@ def matches(docs: DataFrame, items: Items) -> DataFrame:
 
 
 def choose_seeds(items: Items, df: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """gram -> (item, place) of the n-grams that are rarest in their stretch of LEAST words (the first among equals).
-    An item shorter than that is one stretch."""
+    """gram -> (item, place) of the n-grams that are rarest in their stretch of STRETCH words (the first among equals);
+    those that no document holds do not matter. An item shorter than that is one stretch."""
+    df = np.where(df > 0, df, np.iinfo(np.int64).max)
     seeds: dict[int, set[tuple[int, int]]] = {}
     for k, t in enumerate(items.texts):
         g = lookup(items.grams, gram_codes(t))
         if not len(g):
             continue
-        span = min(LEAST - GRAM + 1, len(g))
+        span = min(STRETCH - GRAM + 1, len(g))
         view = np.lib.stride_tricks.sliding_window_view(df[g], span)
         for at in np.unique(np.arange(len(view)) + view.argmin(1)):
-            if df[g[at]]:
+            if df[g[at]] < np.iinfo(np.int64).max:
                 seeds.setdefault(int(g[at]), set()).add((k, int(at)))
     return {g: sorted(s) for g, s in seeds.items()}
 

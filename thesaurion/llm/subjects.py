@@ -35,7 +35,8 @@ LANGUAGES = {
 FREE = 10  #: topics besides one per subject
 ROUNDS = 5  #: rounds of fitting
 INNER = 6  #: inner rounds per document
-RAREST, COMMONEST = 0.01, 0.25  #: shares of a language's documents that hold a word of the vocabulary
+RAREST, COMMONEST = 0.01, 0.6  #: shares of a language's documents that hold a word of the vocabulary
+FLAT = 0.25  #: beyond this share a word is used only if the labelled examples that hold it speak for one subject
 LEAST_DOCS = 3
 TOP = 20  #: terms by which a topic is judged
 SURE = 0.5  #: share of a topic's top-term weight that must speak for one subject
@@ -101,11 +102,13 @@ class Tests:
 
 @dataclass
 class Model:
-    """Topics of one language: lam (topic x word) are the variational word counts, owner the subject of each topic or -1."""
+    """Topics of one language: lam (topic x word) are the variational word counts, owner the subject of each topic or -1,
+    used the words that count."""
 
     vocab: dict[str, int]
     lam: np.ndarray
     owner: np.ndarray
+    used: np.ndarray
 
     def weights(self) -> np.ndarray:
         return np.exp(_digamma(self.lam) - _digamma(self.lam.sum(1, keepdims=True))).astype(np.float32)
@@ -239,8 +242,9 @@ def fit(bagged: DataFrame, models: dict[str, Model], rounds: int = ROUNDS) -> di
     langs = sorted(models)
     for _ in range(rounds):
         weights = {k: models[k].weights() for k in langs}
+        used = {k: models[k].used for k in langs}
 
-        def run(batches: Iterator[pd.DataFrame], weights=weights) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], weights=weights, used=used) -> Iterator[pd.DataFrame]:
             total = {k: np.zeros(w.shape, np.float64) for k, w in weights.items()}
             for b in batches:
                 for lang, part in b.groupby("lang"):
@@ -248,7 +252,7 @@ def fit(bagged: DataFrame, models: dict[str, Model], rounds: int = ROUNDS) -> di
                         continue
                     w = weights[lang]
                     for lo in range(0, len(part), 1000):
-                        counts = _counts(part["word"].iloc[lo : lo + 1000], w.shape[1])
+                        counts = _counts(part["word"].iloc[lo : lo + 1000], w.shape[1]) * used[lang]
                         theta, ratio = infer(counts[counts.sum(1) > 0], w)
                         total[lang] += (theta.T @ ratio) * w
             rows = [(k, i, row.tolist()) for k, t in total.items() if t.any() for i, row in enumerate(t)]
@@ -258,7 +262,7 @@ def fit(bagged: DataFrame, models: dict[str, Model], rounds: int = ROUNDS) -> di
         new = {k: np.full_like(models[k].lam, ETA) for k in langs}
         for r in sums.collect():
             new[r["lang"]][r["topic"]] += np.array(r["row"])
-        models = {k: Model(models[k].vocab, new[k], models[k].owner) for k in langs}
+        models = {k: Model(models[k].vocab, new[k], models[k].owner, models[k].used) for k in langs}
     return models
 
 
@@ -279,7 +283,7 @@ def judged(model: Model, speak: np.ndarray, subjects: int) -> np.ndarray:
     return owner
 
 
-def start(vocab: dict[str, int], df: np.ndarray, seen: np.ndarray, seed: int = 3) -> tuple[Model, np.ndarray]:
+def start(vocab: dict[str, int], df: np.ndarray, docs: int, seen: np.ndarray, seed: int = 3) -> tuple[Model, np.ndarray]:
     """First topics of a language from its word counts and labelled examples, and how much each word speaks for each
     subject: a word speaks for the subjects in whose examples it is over-represented."""
     base, per = seen[:, 0], seen[:, 1:].T
@@ -290,7 +294,8 @@ def start(vocab: dict[str, int], df: np.ndarray, seen: np.ndarray, seed: int = 3
     lam = rng.gamma(100, 0.01, (subjects + FREE, len(vocab))) * df / df.sum() * len(vocab)
     for i in np.flatnonzero(base):
         lam[i] *= 0.05 + 4 * speak[:, i] ** 2
-    return Model(vocab, lam + ETA, np.full(subjects + FREE, -1)), speak
+    used = (df <= FLAT * docs) | (speak.max(1) >= 0.5)
+    return Model(vocab, lam + ETA, np.full(subjects + FREE, -1), used), speak
 
 
 def assign(bagged: DataFrame, models: dict[str, Model], subjects: int) -> DataFrame:
@@ -308,10 +313,11 @@ def assign(bagged: DataFrame, models: dict[str, Model], subjects: int) -> DataFr
                 of[np.flatnonzero(owner >= 0), owner[owner >= 0]] = 1
                 for lo in range(0, len(part), 1000):
                     some = part.iloc[lo : lo + 1000]
-                    theta, _ = infer(_counts(some["word"], w.shape[1]), w)
+                    used = models[lang].used
+                    theta, _ = infer(_counts(some["word"], w.shape[1]) * used, w)
                     row, word = _flat(some["word"])
                     p = theta[row] * w[:, word].T
-                    p = (p / p.sum(1, keepdims=True)) @ of
+                    p = (p / p.sum(1, keepdims=True)) @ of * used[word][:, None]
                     doc, cut = _flat(some["cut"])
                     if not len(doc):
                         continue
@@ -319,7 +325,8 @@ def assign(bagged: DataFrame, models: dict[str, Model], subjects: int) -> DataFr
                     end = cut + np.r_[0, np.cumsum([len(x) for x in some["word"]])][doc]
                     begin = np.r_[0, end[:-1]]
                     total = np.vstack([np.zeros((1, subjects)), np.cumsum(p, 0, dtype=np.float64)])
-                    mass, size = total[end] - total[begin], (end - begin)[:, None]
+                    n = np.r_[0, np.cumsum(used[word])]
+                    mass, size = total[end] - total[begin], (n[end] - n[begin])[:, None]
                     hit = (mass >= WEIGHT * size - 1e-6) & (mass >= WEIGHT - 1e-6)
                     share = np.zeros((len(some), subjects))
                     np.add.at(share, doc, hit)
@@ -355,6 +362,8 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[str], scratch
     areas: the subject names; items: test items whose sentences are left aside. Null, blank and wordless texts have no
     subject; rows with a null doc_id are left out; a text of any length is read whole. Rows that repeat a doc_id are
     documents in their own right. Other columns are not read. Without labels no topic has a subject, hence no rows."""
+    if not areas:
+        return docs.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
     number = {a.casefold(): i for i, a in enumerate(areas)}
     known = labels.where("doc_id is not null").select("doc_id", F.lower(F.trim("subject")).alias("s")).where(F.col("s").isin(*number))
     known = known.groupBy("doc_id").agg(F.collect_set(F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("s"))).alias("own"))
@@ -371,8 +380,8 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[str], scratch
     vocab = {k: {w: i for i, (w, _) in enumerate(v)} for k, v in by.items()}
     bagged = scratch.cut(bags(clean, vocab))
     seen = examples(bagged, known, {k: len(v) for k, v in vocab.items()}, len(areas))
-    begun = {k: start(vocab[k], np.array([n for _, n in by[k]], np.float64), seen[k]) for k in by}
+    begun = {k: start(vocab[k], np.array([n for _, n in by[k]], np.float64), total[k], seen[k]) for k in by}
     models = fit(bagged, {k: m for k, (m, _) in begun.items()})
-    models = {k: Model(m.vocab, m.lam, judged(m, begun[k][1], len(areas))) for k, m in models.items()}
+    models = {k: Model(m.vocab, m.lam, judged(m, begun[k][1], len(areas)), m.used) for k, m in models.items()}
     names = F.element_at(F.array(*[F.lit(a) for a in areas]), F.col("subject") + 1)
     return assign(bagged, models, len(areas)).select("doc_id", names.alias("subject"), "share")
