@@ -140,6 +140,8 @@ def _block_top(vectors: DataFrame, block: list, k: int) -> DataFrame:
                     row, col = np.nonzero(s >= edge[:, None] - 1e-12)
                 else:
                     row, col = np.nonzero(np.ones_like(s, bool))
+                if not len(row):
+                    continue
                 yield pd.DataFrame({"query_id": [str(ids[i]) for i in row], "concept_id": b["concept_id"].to_numpy()[at[col]], "cosine": s[row, col]})
 
     return vectors.where("concept_id is not null and vector is not null").select("concept_id", "vector").mapInPandas(run, f"query_id string, concept_id {kind}, cosine double")

@@ -70,11 +70,15 @@ def hpo(spark: SparkSession, path: str) -> Loaded:
     return concept_rows(own, "hpo"), links
 
 
+def _typed(kind: str) -> Column:
+    return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("rel"), url_curie(x).alias("curie")))
+
+
 def mondo(spark: SparkSession, path: str) -> Loaded:
     """F-02: also its annotations: matches by kind, other cross references as annotated_with."""
     own = _ontology(owl_classes(spark, path), "MONDO_").withColumn("synonyms", F.when(F.size("exact_synonyms") > 0, F.col("exact_synonyms")))
     up = own.select("concept_id", F.explode("parents").alias("o")).where("o like 'MONDO\\_%'")
-    kinds = F.flatten(F.array(*[F.transform(k, lambda x, k=k: F.struct(F.lit(k).alias("rel"), url_curie(x).alias("curie"))) for k in ("exact", "broad", "narrow", "related")]))
+    kinds = F.flatten(F.array(*[_typed(k) for k in ("exact", "broad", "narrow", "related")]))
     match = own.select("concept_id", F.inline(kinds)).where("curie is not null")
     others = own.select("concept_id", F.explode("xrefs").alias("curie")).where("instr(curie, ':') > 0").join(match.select("concept_id", "curie").distinct(), ["concept_id", "curie"], "left_anti").withColumn("rel", F.lit("annotated_with"))
     ann = match.unionByName(others).select(F.lit("mondo").alias("prefix_from"), F.col("concept_id").alias("id_from"), vocabulary_prefix(F.substring_index("curie", ":", 1)).alias("prefix_to"), F.regexp_replace("curie", r"^[^:]*:", "").alias("id_to"), F.col("rel").alias("rel_type")).distinct()

@@ -64,9 +64,14 @@ def status_snapshot(concepts: DataFrame, edges: DataFrame, vectors: DataFrame, s
     return {k: v.withColumns(stamp) for k, v in parts.items()}
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if events.isStreaming else rows
+
+
 def windowed_counts(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """M-08, a native extra: counts and sums per event type in tumbling or sliding windows; alike for streams and tables."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     out = rows.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
@@ -74,6 +79,6 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", slide: str | None
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """M-08, a native extra: a user's runs of events with pauses below gap."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
