@@ -38,10 +38,27 @@ def roll_up(links: DataFrame, weights: DataFrame, scratch: Scratch) -> DataFrame
     return out if out is not None else state.select("id", "n")
 
 
+def path_counts(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, anc, m): the number of paths from each node up to each node above it, itself with 1. A loop raises.
+
+    What repeated roll-ups over the same hierarchy need once: each is then one join and one sum."""
+    hops = scratch.cut(links.select(F.col("child").alias("anc"), F.col("parent").alias("up")))
+    front = scratch.cut(hops.select("anc").union(hops.select("up")).distinct().select(F.col("anc").alias("id"), "anc", F.lit(1).cast("double").alias("m")))
+    out = front
+    while True:
+        front = scratch.cut(front.join(hops, "anc").groupBy("id", F.col("up").alias("anc")).agg(F.sum("m").alias("m")))
+        if front.limit(1).count() == 0:
+            return scratch.cut(out.groupBy("id", "anc").agg(F.sum("m").alias("m")))
+        if front.where("id = anc").limit(1).count():
+            raise CycleError("the hierarchy has a loop")
+        out = out.union(front)
+
+
 def information_content(rolled: DataFrame, most: float | None = None) -> DataFrame:
-    """A-03: (id, n, ic): -ln(n / n_max), null where n is 0. n_max is the greatest n unless given."""
-    top = rolled.agg(F.max("n").alias("top")) if most is None else rolled.sparkSession.range(1).select(F.lit(float(most)).alias("top"))
-    return rolled.crossJoin(F.broadcast(top)).select("id", "n", "top", F.when(F.col("n") > 0, F.abs(-F.log(F.col("n") / F.col("top")))).alias("ic"))
+    """A-03: (id, n, top, ic): -ln(n / top), null where n is 0. top is the greatest n unless given."""
+    top = rolled.agg(F.max("n")).first()[0] if most is None else most
+    top = F.lit(None if top is None else float(top)).cast("double")
+    return rolled.select("id", "n", top.alias("top"), F.when(F.col("n") > 0, F.abs(-F.log(F.col("n") / top))).alias("ic"))
 
 
 def ancestors_or_self(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -81,9 +98,9 @@ def relevance_of(links: DataFrame, ic: DataFrame, scratch: Scratch, threshold: f
     own = ic.where("ic is not null").select("id", "ic")
     pairs = _pairs_at(ancestors_or_self(links, scratch), ic)
     pairs = pairs.join(own.select(F.col("id").alias("id_1"), F.col("ic").alias("ic_1")), "id_1").join(own.select(F.col("id").alias("id_2"), F.col("ic").alias("ic_2")), "id_2")
-    top = ic.agg(F.max("top").alias("top"))
-    score = F.try_divide(2 * F.col("m.m_ic"), F.col("ic_1") + F.col("ic_2")) * (1 - F.col("m.m_n") / F.col("top"))
-    return pairs.crossJoin(F.broadcast(top)).select("id_1", "id_2", score.alias("score")).where(F.col("score") >= threshold)
+    top = F.lit(ic.agg(F.max("top")).first()[0]).cast("double")
+    score = F.try_divide(2 * F.col("m.m_ic"), F.col("ic_1") + F.col("ic_2")) * (1 - F.col("m.m_n") / top)
+    return pairs.select("id_1", "id_2", score.alias("score")).where(F.col("score") >= threshold)
 
 
 def weighted_content(target: DataFrame, corpus: DataFrame, annotations: DataFrame, scratch: Scratch, close: float = 1e-3, most_rounds: int = 100, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -93,16 +110,19 @@ def weighted_content(target: DataFrame, corpus: DataFrame, annotations: DataFram
     pairs = scratch.cut(annotations.select("id", "corpus_id").distinct())
     flip = pairs.select(F.col("corpus_id").alias("id"), F.col("id").alias("corpus_id"))
 
-    def side(links: DataFrame, ann: DataFrame, other: DataFrame | None) -> DataFrame:
+    def side(paths: DataFrame, ann: DataFrame, other: DataFrame | None) -> DataFrame:
         if other is None:
             w = ann.groupBy("id").agg((F.count(F.lit(1)) * F.lit(0.5)).alias("w"))
         else:
             w = ann.join(other.where("ic is not null").select(F.col("id").alias("corpus_id"), "ic"), "corpus_id").groupBy("id").agg(F.sum(F.exp(F.col("ic") * 0.5)).alias("w"))
-        return scratch.cut(information_content(roll_up(links, w, scratch)))
+        below = paths.join(w, "id").groupBy(F.col("anc").alias("id")).agg(F.sum(F.col("m") * F.col("w")).alias("n"))
+        lone = w.join(paths.select("id").distinct(), "id", "left_anti").select("id", F.col("w").alias("n"))
+        return scratch.cut(information_content(scratch.cut(below.union(lone))))
 
     def moved(new: DataFrame, old: DataFrame) -> float:
         return new.join(old.select("id", F.col("ic").alias("old")), "id").agg(F.max(F.abs(F.col("ic") - F.col("old")))).first()[0] or 0.0
 
+    target, corpus = path_counts(target, scratch), path_counts(corpus, scratch)
     t = side(target, pairs, None)
     c = side(corpus, flip, t)
     for _ in range(1, rounds or most_rounds):

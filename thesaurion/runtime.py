@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_ROOTS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
+        if not _ROOTS:
+            atexit.register(_sweep)
+        _ROOTS.append((spark, self.root))
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write df, return it read back; one pass over its plan."""
@@ -50,6 +54,15 @@ class Scratch:
                 remove(self.spark, path)
 
 
+def _sweep() -> None:
+    """What is left in the shared folder goes when the driver ends; results read it until then."""
+    for spark, root in _ROOTS:
+        try:
+            remove(spark, root)
+        except Exception:  # noqa: BLE001 - the session is gone already
+            return
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -62,6 +75,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: A key is hot when it alone holds this share of the rows; hence there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 500
+#: Fewer rows of one key are never hot: a task takes so many without trouble.
+HOT_ROWS = 200_000
 
 
 def keyed_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
@@ -71,8 +86,8 @@ def keyed_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inne
     1 / HOT_SHARE, so that their part of the side has a proven bound and is broadcast; all others are joined by a
     shuffle on the key. Null keys match nothing and are kept apart from the shuffle (kept by a left join)."""
     total = rows.count() if total is None else total
-    least = max(10_000, int(total * HOT_SHARE))
-    if total <= least * 2:
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    if total <= least:
         return rows.join(side, on, how)
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).drop("_n")
     hot = [r.asDict() for r in counts.limit(int(1 / HOT_SHARE) + 1).collect()]

@@ -15,7 +15,8 @@ from thesaurion.schema import concepts as concept_rows
 
 class ConceptStore:
     """Concepts kept as versions of a Parquet table: a version is written whole, then named current; readers never see
-    half of one. A batch that comes again after a failure is recognised by its number and not applied twice."""
+    half of one. A batch that comes again after a failure is recognised by its number and not applied twice; hence a
+    store belongs to one stream and its checkpoint."""
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
