@@ -38,7 +38,7 @@ def test_shapes(spark, scratch):
 
 
 def test_random_with_hot_record(spark, scratch, monkeypatch):
-    monkeypatch.setattr(runtime, "HOT_SHARE", 1 / 50)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 1000)
     rng = random.Random(2)
     links = [("hot", f"h{i}") for i in range(12_000)] + [(f"r{rng.randrange(6000)}", f"r{rng.randrange(6000)}") for _ in range(4000)]
     assert run(spark, scratch, links) == brute(links)

@@ -16,17 +16,22 @@ def test_words():
 def test_alignment_against_table():
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 6, (40, 9)).astype(np.int32), rng.integers(1, 6, (40, 14)).astype(np.int32)
-    best, span, longest = m.align(a, b)
+    best, longest, end = m.align(a, b)
+    span = m.spans(a, b, end)
     for k in range(40):
         h = np.zeros((10, 15), int)
+        begin = np.zeros((10, 15), int)  # the last row at which an alignment of that score may begin
         run = np.zeros((10, 15), int)
         for i in range(1, 10):
             for j in range(1, 15):
                 same = a[k, i - 1] == b[k, j - 1]
-                h[i, j] = max(0, h[i - 1, j - 1] + (m.MATCH if same else m.MISS), h[i - 1, j] + m.GAP, h[i, j - 1] + m.GAP)
+                ways = [(h[i - 1, j - 1] + (m.MATCH if same else m.MISS), begin[i - 1, j - 1] if h[i - 1, j - 1] else i), (h[i - 1, j] + m.GAP, begin[i - 1, j]), (h[i, j - 1] + m.GAP, begin[i, j - 1])]
+                h[i, j], begin[i, j] = max([x for x in ways if x[0] > 0], default=(0, 0))
                 run[i, j] = run[i - 1, j - 1] + 1 if same else 0
         assert best[k] == h.max() and longest[k] == run.max()
-        assert 0 < span[k] <= 9
+        last = min(i for i in range(10) if h[i].max() == h.max())
+        assert end[k] == last - 1
+        assert span[k] == last - max(begin[last, j] for j in range(15) if h[last, j] == h.max()) + 1
 
 
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen"
