@@ -23,6 +23,7 @@ from thesaurion.runtime import Scratch
 
 GRAM = 5  #: words of a seed
 STRETCH = 7  #: words of an item within which one n-gram is a seed
+SLACK = 6  #: words, besides an eighth of the item, that may be inserted or lost before a seed
 LEAST = 10  #: words that must agree for an exact leak
 BLOCK_WORDS = 1_000_000  #: item words held by a task at once
 MATCH, MISS, GAP = 2, -1, -1
@@ -108,35 +109,41 @@ def choose_seeds(items: Items, df: np.ndarray) -> dict[int, list[tuple[int, int]
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman over a batch of padded word rows a (item) and b (document): per pair the best local score, the
-    number of item words spanned by that alignment, and the longest run of equal words. Padding is -1 in a, -2 in b.
+    longest run of equal words, and the first row at which the best score ends. Padding is -1 in a, -2 in b.
 
     Rows of the item are taken in turn; the gap along the document is a running maximum, so each step is vectorised."""
     n, width = len(a), b.shape[1]
-    slide = -GAP * np.arange(width, dtype=np.int32)
-    h = np.zeros((n, width + 1), np.int32)
-    run = np.zeros((n, width + 1), np.int32)
-    start = np.zeros((n, width + 1), np.int32)
-    best, span, longest = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    kind = np.int16 if MATCH * a.shape[1] + width < 32_000 else np.int32
+    slide = (-GAP * np.arange(width)).astype(kind)
+    h = np.zeros((n, width + 1), kind)
+    run = np.zeros((n, width + 1), kind)
+    best, end, longest = np.zeros(n, kind), np.zeros(n, np.int32), np.zeros((n, width), kind)
+    gain, gap = kind(MATCH - MISS), kind(GAP)
     for i in range(a.shape[1]):
         same = a[:, i : i + 1] == b
-        diag, up = h[:, :-1] + np.where(same, MATCH, MISS), h[:, 1:] + GAP
-        own = np.where(diag >= up, diag, up)
-        begun = np.where(diag >= up, np.where(h[:, :-1] > 0, start[:, :-1], i), start[:, 1:])
-        lifted = np.maximum(own, 0) + slide
-        top = np.maximum.accumulate(lifted, 1)
-        score = top - slide
-        came = np.maximum.accumulate(np.where(lifted == top, np.arange(width), 0), 1)
-        begun = np.take_along_axis(begun, came, 1)
-        h = np.concatenate([np.zeros((n, 1), np.int32), score], 1)
-        start = np.concatenate([np.full((n, 1), i + 1, np.int32), begun], 1)
-        run = np.concatenate([np.zeros((n, 1), np.int32), np.where(same, run[:, :-1] + 1, 0)], 1)
-        at = score.argmax(1)
-        now = score[np.arange(n), at]
-        better = now > best
-        span = np.where(better, i + 1 - begun[np.arange(n), at], span)
-        best = np.maximum(best, now)
-        longest = np.maximum(longest, run.max(1))
-    return best, span, longest
+        own = same * gain
+        own += h[:, :-1]
+        own += kind(MISS)
+        np.maximum(own, h[:, 1:] + gap, out=own)
+        np.maximum(own, 0, out=own)
+        own += slide
+        np.maximum.accumulate(own, 1, out=own)
+        own -= slide
+        h[:, 1:] = own
+        run[:, 1:] = (run[:, :-1] + kind(1)) * same
+        now = own.max(1)
+        end[now > best] = i
+        np.maximum(best, now, out=best)
+        np.maximum(longest, run[:, 1:], out=longest)
+    return best.astype(np.int32), longest.max(1).astype(np.int32), end
+
+
+def spans(a: np.ndarray, b: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Item words spanned by the best alignment that ends at row `end`, the first such row: the same table over both
+    rows read backwards from there ends at the alignment's begin."""
+    at = end[:, None] - np.arange(a.shape[1])
+    back = np.where(at >= 0, np.take_along_axis(a, np.maximum(at, 0), 1), -1)
+    return align(back, b[:, ::-1])[2] + 1
 
 
 def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
@@ -146,16 +153,17 @@ def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
     return out
 
 
-def windows(ids: np.ndarray, at: list[int], reach: int) -> list[np.ndarray]:
-    """The stretches of a document within reach of its seeds, joined where they overlap."""
+def windows(ids: np.ndarray, begins: list[int], length: int, slack: int) -> list[np.ndarray]:
+    """The stretches of a document where an item of that length would lie if it began at the given places, with slack for
+    inserted and lost words, joined where they overlap."""
     out, lo, hi = [], None, None
-    for p in sorted(at):
-        if lo is not None and p - reach <= hi:
-            hi = p + reach
+    for p in sorted(begins):
+        if lo is not None and p - slack <= hi:
+            hi = p + length + slack
             continue
         if lo is not None:
             out.append(ids[max(0, lo) : hi])
-        lo, hi = p - reach, p + reach
+        lo, hi = p - slack, p + length + slack
     out.append(ids[max(0, lo) : hi])
     return out
 
@@ -168,10 +176,10 @@ def score_pairs(found: DataFrame, items: Items, seeds: dict[int, list[tuple[int,
                 near: dict[int, list[int]] = {}
                 for g, p in zip(gram, pos):
                     for k, at in seeds.get(int(g), ()):
-                        near.setdefault(k, []).append(int(p))
+                        near.setdefault(k, []).append(int(p) - at)
                 ids = np.asarray(ids, np.int32)
                 for k, at in near.items():
-                    todo += [(doc, k, w) for w in windows(ids, at, len(items.texts[k]) + GRAM)]
+                    todo += [(doc, k, w) for w in windows(ids, at, len(items.texts[k]), SLACK + len(items.texts[k]) // 8)]
             todo.sort(key=lambda x: (len(x[2]), len(items.texts[x[1]])))
             parts, lo = [], 0
             while lo < len(todo):
@@ -179,7 +187,11 @@ def score_pairs(found: DataFrame, items: Items, seeds: dict[int, list[tuple[int,
                 while hi > lo + 1 and (hi - lo) * len(todo[hi - 1][2]) > 400_000:
                     hi = lo + (hi - lo) // 2
                 some = todo[lo:hi]
-                best, span, longest = align(_padded([items.texts[k] for _, k, _ in some], -1), _padded([w for _, _, w in some], -2))
+                a, b2 = _padded([items.texts[k] for _, k, _ in some], -1), _padded([w for _, _, w in some], -2)
+                best, longest, end = align(a, b2)
+                span = np.zeros(len(some), np.int32)
+                if (long := best >= MATCH * LEAST * 4 // 5).any():
+                    span[long] = spans(a[long], b2[long], end[long])
                 parts.append(pd.DataFrame({"doc_id": [d for d, _, _ in some], "item_id": items.ids[[k for _, k, _ in some]], "score": best, "span": span, "longest": longest}))
                 lo = hi
             if parts:
@@ -192,7 +204,7 @@ def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, item_id, score, span, longest: one row per document and item that meet at a seed.
 
     docs: doc_id long, text; items: item_id long, text. score is the Smith-Waterman score (2 a match, -1 a miss or gap),
-    span the item words of that alignment, longest the longest run of equal words. Null ids or texts take no part,
+    span the item words of that alignment (0 where the score is below four fifths of LEAST matches), longest the longest run of equal words. Null ids or texts take no part,
     wordless texts meet nothing, long texts are read whole; rows that repeat a doc_id or item_id are scored together.
     Other columns are not read. A document with very many seeds is split into stretches, each aligned on its own."""
     rows = items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
