@@ -4,6 +4,7 @@ import pytest
 
 from thesaurion.operators import hierarchy
 from thesaurion.operators.hierarchy import hierarchies, loops_of, paths
+from thesaurion.plans.problems import named_links, node_pairs, node_paths
 
 LINKS, NODES = "hier string, parent string, child string", "hier string, node string"
 
@@ -101,3 +102,35 @@ def test_loops_of():
     chain = [(i, i + 1) for i in range(50_000)]
     assert loops_of(chain) == []
     assert len(loops_of([*chain, (50_000, 0)])) == 50_001
+
+
+def distances(links):
+    """(ancestor, descendant) -> least number of links, by breadth-first search from every node."""
+    kids = {}
+    for a, b in links:
+        if a and b:
+            kids.setdefault(a, set()).add(b)
+    out = {}
+    for x in kids:
+        front, seen, d = {x}, {x}, 0
+        while front:
+            front, d = {z for y in front for z in kids.get(y, ())} - seen, d + 1
+            seen |= front
+            out |= {(x, y): d for y in front}
+    return out
+
+
+def test_descendants_over_all_parents_and_loops(spark, scratch):
+    rng = random.Random(3)
+    dag = [(f"d{i}", f"d{j}") for j in range(1, 40) for i in rng.sample(range(j), min(j, rng.choice([1, 1, 2, 3])))]
+    cases = {**CASES, "dag with a loop": ([*dag, ("d30", "d5"), ("q", "q"), ("q", "d7"), ("e1", "e2"), ("e2", "e1"), ("e2", "d20")], ["alone"])}
+    links = spark.createDataFrame([(h, a, b) for h, (ls, _) in cases.items() for a, b in ls], LINKS)
+    nodes = spark.createDataFrame([(h, x) for h, (_, ns) in cases.items() for x in ns], NODES)
+    want = {(h, *k): d for h, (ls, _) in cases.items() for k, d in distances(ls).items()}
+    got = [(r["hier"], r["node_id"], r["descendant_id"], r["distance"]) for r in node_pairs(links, nodes, scratch).collect()]
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+    tree = scratch.cut(hierarchies(links, nodes, scratch))
+    rows = node_paths(tree, named_links(tree, links, scratch), scratch).collect()
+    assert {(r["hier"], r["node_id"]) for r in rows} == {(h, x) for h, case in cases.items() for x in brute(*case)} and len(rows) == tree.count()
+    assert all(r["n_descendants"] == sum(1 for k in want if k[:2] == (r["hier"], r["node_id"])) for r in rows)
+    assert all((r["path"] == "") == (r["lvl"] == -1) and (r["lvl"] == -1 or r["path"].count(">") == r["lvl"]) for r in rows)

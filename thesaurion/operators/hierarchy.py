@@ -237,6 +237,27 @@ def hierarchies(links: DataFrame, nodes: DataFrame, scratch: Scratch, core_links
     return out.select("hier", "node", "nid", "par", F.col("root").alias("root_nid"), F.coalesce("root_id", F.lit("")).alias("root_id"), F.coalesce("lvl", F.lit(-1)).alias("lvl"), "tin", "tout", "size", F.coalesce("on_cycle", F.lit(0)).alias("on_cycle"))
 
 
+def descendants(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, dist): every pair of different nodes such that b is reached from a, over whichever parents, loops and nodes
+    without a root included; dist is the least number of links. links: p, c.
+
+    A pair more than far and at most 2 * far links apart has a node exactly far links behind its first; these are
+    joined with all pairs known so far, so the rounds follow the logarithm of the greatest distance."""
+    known = scratch.cut(links.where("p <> c").select(F.col("p").alias("a"), F.col("c").alias("b"), F.lit(1).alias("dist")).distinct())
+    far = 1
+    while True:
+        edge = known.where(F.col("dist") == far)
+        if edge.limit(1).count() == 0:
+            return known
+        above = edge.groupBy(F.col("b").alias("m")).agg(F.collect_list("a").alias("tops"))
+        ahead = keyed_join(known.withColumnRenamed("a", "m"), above, ["m"])
+        ahead = ahead.select(F.explode("tops").alias("a"), "b", (F.col("dist") + far).alias("dist")).where("a <> b")
+        new = ahead.groupBy("a", "b").agg(F.min("dist").alias("dist")).join(known, ["a", "b"], "left_anti")
+        known, old = scratch.cut(known.unionByName(new)), known
+        scratch.drop(old)
+        far *= 2
+
+
 def paths(tree: DataFrame, scratch: Scratch) -> DataFrame:
     """(nid, path array<long> from the root to the node) for nodes with a root; doubling, so in log(depth) rounds."""
     state = scratch.cut(tree.where("lvl >= 0").select("nid", "par", F.array("nid").alias("path")))
