@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from thesaurion.llm import queries
 from thesaurion.llm import vectors as v
 
 
@@ -80,3 +81,18 @@ def test_unusable_and_repeated(spark, scratch):
     assert (found.a != found.b).all() and not found.duplicated(["a", "b"]).any()
     assert found[(found.a == 4) & (found.rnk == 1)].b.item() == 5
     assert v.similar(u.limit(0), 5, 16, scratch).count() == 0
+
+
+def test_p4_found_searches_with_the_whole_beam(monkeypatch):
+    """Half the beam lost pairs on the tables ten times sf0.1; small tables do not show it."""
+    asked = {}
+
+    def stop(*_, **given):
+        asked.update(given)
+        raise StopIteration
+
+    for name, f in {"table": lambda *_: None, "usable": lambda *_: None, "Scratch": lambda *_: None, "similar": stop}.items():
+        monkeypatch.setattr(queries, name, f)
+    with pytest.raises(StopIteration):
+        queries.p4_found(None, "")
+    assert asked["beam"] >= 24

@@ -42,7 +42,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable(table(spark, sf_dir, "embedding_record"), "concept_id", "vector", 64)
-    near = similar(vectors, 5, 64, Scratch(spark, "p4"), floor=0.9, beam=12, probes=3, gap=0.12)
+    near = similar(vectors, 5, 64, Scratch(spark, "p4"), floor=0.9, beam=24, probes=3, gap=0.12)
     return near.select(F.least("a", "b").alias("concept_id_a"), F.greatest("a", "b").alias("concept_id_b")).distinct()
 
 
