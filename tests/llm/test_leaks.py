@@ -3,7 +3,7 @@ import pandas as pd
 from conftest import DATA, rows
 
 from thesaurion.llm import leaks as m
-from thesaurion.llm.queries import p9_found
+from thesaurion.llm.queries import p9_found, p9_similar
 from thesaurion.llm.words import mended, words
 
 
@@ -76,3 +76,34 @@ def test_all_documents_against_brute_force(spark):
         w = words(t)
         want |= {(d, i) for k in range(len(w) - 9) for i in grams.get(tuple(w[k : k + 10]), ())}
     assert rows(p9_found(spark, DATA)) == sorted(want)
+
+
+def test_similar_by_any_alignment(spark, tmp_path):
+    """A replaced sentence between two clean pieces is bridged by the best alignment, which is then too thin."""
+    w = [f"w{i}" for i in range(55)]
+    x = [f"x{i}" for i in range(15)]
+    edited = [*w[:6], "x", *w[7:13], "y", *w[14:20]]  # no run of ten, four fifths of the full score
+    docs = [(1, [*w[:20], *x, *w[35:]]), (2, [*edited, *x, *w[35:42]]), (3, w), (4, [*w[:7], *x[:7], *w[14:21], *x[:7], *w[28:35]]), (5, [*w[:7], *x])]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(w))], "item_id long, text string").write.parquet(f"{tmp_path}/eval_item.parquet")
+    got = {r["doc_id"]: r for r in p9_similar(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and (got[1]["score"], got[1]["span"]) == (65, 55)
+
+
+def test_near_copy_against_table():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        a = rng.integers(1, 30, 26).astype(np.int32)
+        b = a.copy()
+        b[rng.random(26) < rng.choice([0.05, 0.12, 0.2])] = 0
+        b = np.delete(b, rng.integers(0, 26, 2)) if rng.random() < 0.5 else np.insert(b, rng.integers(0, 26, 2), 0)
+        want = False
+        for start in range(26):
+            h = np.zeros(len(b) + 1, int)
+            for i in range(start, 26):
+                new = h - 1
+                for j in range(len(b)):
+                    new[j + 1] = max(new[j + 1], h[j] + (2 if a[i] == b[j] else -1), new[j] - 1)
+                h = new
+                want |= h.max() >= 1.6 * max(i - start + 1, 10)
+        assert m.near_copy(a, b) == want

@@ -28,6 +28,7 @@ LEAST = 10  #: words that must agree for an exact leak
 BLOCK_WORDS = 1_000_000  #: item words held by a task at once
 MATCH, MISS, GAP = 2, -1, -1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+PAIRS = "doc_id long, item_id long, score int, span int, longest int, close boolean"
 _PAIRS = 512  #: pairs aligned together
 
 
@@ -146,6 +147,31 @@ def spans(a: np.ndarray, b: np.ndarray, end: np.ndarray) -> np.ndarray:
     return align(back, b[:, ::-1])[2] + 1
 
 
+def near_copy(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether some alignment of item words a with document words b reaches four fifths of the full score of its item
+    words, LEAST at least.
+
+    One over 2 * LEAST item words or more falls into parts of LEAST words or more of which one reaches it too, and
+    leading words that do not match only lower it: so alignments that begin at a word held by b and span fewer words
+    are tried, all begins at once. At most two item words of such a stretch can fail to match."""
+    held = np.isin(a, b)
+    ahead = np.convolve(np.r_[held, np.zeros(LEAST - 1, bool)], np.ones(LEAST, int), "valid")
+    begins = np.flatnonzero(held & (ahead >= LEAST * 4 // 5))
+    if not len(begins):
+        return False
+    most = 2 * LEAST - 1
+    rows = np.r_[a, np.full(most, -1, np.int32)][begins[:, None] + np.arange(most)]
+    slide = -GAP * np.arange(len(b) + 1, dtype=np.int32)
+    h = np.zeros((len(begins), len(b) + 1), np.int32)
+    for i in range(most):
+        new = h + GAP
+        np.maximum(new[:, 1:], h[:, :-1] + np.where(rows[:, i : i + 1] == b, MATCH, MISS), out=new[:, 1:])
+        h = np.maximum.accumulate(new + slide, 1) - slide
+        if 5 * h.max() >= 4 * MATCH * max(i + 1, LEAST):
+            return True
+    return False
+
+
 def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
     out = np.full((len(rows), max(map(len, rows))), fill, np.int32)
     for k, r in enumerate(rows):
@@ -168,7 +194,7 @@ def windows(ids: np.ndarray, begins: list[int], length: int, slack: int) -> list
     return out
 
 
-def score_pairs(found: DataFrame, items: Items, seeds: dict[int, list[tuple[int, int]]]) -> DataFrame:
+def score_pairs(found: DataFrame, items: Items, seeds: dict[int, list[tuple[int, int]]], edited: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             todo = []
@@ -192,19 +218,23 @@ def score_pairs(found: DataFrame, items: Items, seeds: dict[int, list[tuple[int,
                 span = np.zeros(len(some), np.int32)
                 if (long := best >= MATCH * LEAST * 4 // 5).any():
                     span[long] = spans(a[long], b2[long], end[long])
-                parts.append(pd.DataFrame({"doc_id": [d for d, _, _ in some], "item_id": items.ids[[k for _, k, _ in some]], "score": best, "span": span, "longest": longest}))
+                close = (longest >= LEAST) | (5 * best >= 4 * MATCH * np.maximum(span, LEAST))
+                for j in np.flatnonzero(long & ~close) if edited else ():
+                    close[j] = near_copy(items.texts[some[j][1]], some[j][2])
+                parts.append(pd.DataFrame({"doc_id": [d for d, _, _ in some], "item_id": items.ids[[k for _, k, _ in some]], "score": best, "span": span, "longest": longest, "close": close}))
                 lo = hi
             if parts:
                 yield pd.concat(parts)
 
-    return found.mapInPandas(run, "doc_id long, item_id long, score int, span int, longest int")
+    return found.mapInPandas(run, PAIRS)
 
 
-def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, item_id, score, span, longest: one row per document and item that meet at a seed.
+def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, edited: bool = False) -> DataFrame:
+    """doc_id, item_id, score, span, longest, close: one row per document and item that meet at a seed.
 
     docs: doc_id long, text; items: item_id long, text. score is the Smith-Waterman score (2 a match, -1 a miss or gap),
-    span the item words of that alignment (0 where the score is below four fifths of LEAST matches), longest the longest run of equal words. Null ids or texts take no part,
+    span the item words of that alignment (0 where the score is below four fifths of LEAST matches), longest the longest run of equal words. close: longest is LEAST or more, or the best alignment reaches four fifths
+    of the full score; with edited, any alignment that does counts, not only the best (costs more). Null ids or texts take no part,
     wordless texts meet nothing, long texts are read whole; rows that repeat a doc_id or item_id are scored together.
     Other columns are not read. A document with very many seeds is split into stretches, each aligned on its own."""
     rows = items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
@@ -214,18 +244,18 @@ def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     for r in [*rows.toLocalIterator(), None]:
         n = len(r["text"].split()) if r else 0
         if block and (r is None or size + n > BLOCK_WORDS):
-            part = _block(docs, Items.of(block), scratch)
+            part = _block(docs, Items.of(block), scratch, edited)
             out = part if out is None else out.unionByName(part)
             block, size = [], 0
         if r:
             block.append((r["item_id"], r["text"]))
             size += n
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score int, span int, longest int")
-    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max_by("span", "score").alias("span"), F.max("longest").alias("longest"))
+        out = docs.sparkSession.createDataFrame([], PAIRS)
+    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max_by("span", "score").alias("span"), F.max("longest").alias("longest"), F.max("close").alias("close"))
 
 
-def _block(docs: DataFrame, items: Items, scratch: Scratch) -> DataFrame:
+def _block(docs: DataFrame, items: Items, scratch: Scratch, edited: bool) -> DataFrame:
     found = scratch.cut(matches(docs, items))
     # as many rows as the block has distinct n-grams at most
     counts = found.select("doc_id", F.explode(F.array_distinct("gram")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -233,4 +263,4 @@ def _block(docs: DataFrame, items: Items, scratch: Scratch) -> DataFrame:
     for r in counts:
         df[r["g"]] = r["n"]
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return score_pairs(found.repartition(max(cores, found.rdd.getNumPartitions())), items, choose_seeds(items, df))
+    return score_pairs(found.repartition(max(cores, found.rdd.getNumPartitions())), items, choose_seeds(items, df), edited)

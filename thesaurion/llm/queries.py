@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thesaurion.llm.components import groups
 from thesaurion.llm.containers import pack, sizes
-from thesaurion.llm.leaks import LEAST, MATCH, leaks
+from thesaurion.llm.leaks import LEAST, leaks
 from thesaurion.llm.subjects import SHARE, subject_shares
 from thesaurion.llm.topn import top_n
 from thesaurion.llm.vectors import similar, usable
@@ -62,8 +62,8 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), Scratch(spark, "p9"))
+def _leaks(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), Scratch(spark, "p9"), edited)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +71,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also edited and paraphrased copies: alignments over ten words or more that reach 0.8 of the full score."""
-    close = F.col("score") >= 0.8 * MATCH * F.greatest("span", F.lit(LEAST))
-    return _leaks(spark, sf_dir).where(close).select("doc_id", "item_id", "score", "span", "longest")
+    """Also edited and paraphrased copies: any alignment over ten words or more that reaches 0.8 of the full score, or a
+    run of ten equal words; score and span are those of the best alignment."""
+    return _leaks(spark, sf_dir, edited=True).where("close").select("doc_id", "item_id", "score", "span", "longest")
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
