@@ -68,5 +68,12 @@ def test_sentences_and_test_items():
     assert m.language([["der", "wurde", "und"]]) == "de" and m.language([[]]) == "en"
 
 
+def test_only_short_blocks_without_a_sentence_are_headings():
+    cut = "One two three four. Five six seven"
+    assert m.sentences(f"Note no. 7\n\n{cut}\n\nEnd of it.") == [["one", "two", "three", "four"], ["five", "six", "seven"], ["end", "of", "it"]]
+    bare = "these are ten words of a paragraph without any mark"
+    assert m.sentences(f"{bare}\n\nA heading of six words here\n\n{bare}:\n\nLast.") == [bare.split(), bare.split(), ["last"]]
+
+
 def test_digamma():
     assert np.allclose(m._digamma(np.array([1.0, 0.5, 10.0])), [-0.5772156649, -1.9635100260, 2.2517525891])

@@ -40,6 +40,7 @@ FLAT = 0.25  #: beyond this share a word is used only if the labelled examples t
 LEAST_DOCS = 3
 TOP = 20  #: terms by which a topic is judged
 SURE = 0.5  #: share of a topic's top-term weight that must speak for one subject
+HEADING = 8  #: words of a heading at most
 SHARE = 0.2  #: share of a document's sentences
 WEIGHT = 0.5  #: of the topical words of a sentence that must belong to the subject
 ETA, PRIOR = 0.02, 0.1
@@ -53,18 +54,21 @@ _TOLD = {w: k for k, ws in LANGUAGES.items() for w in ws.split()}
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence; wordless ones left out, and headings: blocks without an end mark before further text."""
+    """The words of each sentence; wordless ones left out, and headings: blocks before further text of
+    at most HEADING words that neither end in an end mark nor hold a finished sentence (three words; 'no.' ends none)."""
     text = mended(text)
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
     blocks = [b for b in _BLOCK.split(text) if b.strip()] if "\n" in text else [text]
     out = []
     for i, b in enumerate(blocks):
-        if i + 1 < len(blocks) and not _CLOSED.search(b):
-            continue
         found = _TOKEN.findall(plain(b))
+        ends = [k for k, t in enumerate(found) if t[0] in ".!?。"]
+        if i + 1 < len(blocks) and len(found) - len(ends) <= HEADING and not _CLOSED.search(b):
+            if all(end - begin <= 3 for begin, end in zip([-1, *ends], ends)):
+                continue
         at = 0
-        for end in [k for k, t in enumerate(found) if t[0] in ".!?。"]:
+        for end in ends:
             if end > at:
                 out.append(found[at:end])
             at = end + 1
