@@ -61,18 +61,60 @@ def test_empty(spark, scratch):
     assert run(spark, scratch, corpus(20)[0], [(1, "sea")], areas=()).count() == 0
 
 
-def test_sentences_and_test_items():
-    assert m.sentences("# Title 7\n\nOne two. Three four? (Five!) six") == [["one", "two"], ["three", "four"], ["five"], ["six"]]
-    tests = m.Tests.of(["alpha beta gamma delta epsilon zeta."])
-    assert tests.has("x alpha beta gamma delta epsilon".split()) and not tests.has("alpha beta and other words follow here".split())
-    assert m.language([["der", "wurde", "und"]]) == "de" and m.language([[]]) == "en"
-
-
-def test_only_short_blocks_without_a_sentence_are_headings():
-    cut = "One two three four. Five six seven"
-    assert m.sentences(f"Note no. 7\n\n{cut}\n\nEnd of it.") == [["one", "two", "three", "four"], ["five", "six", "seven"], ["end", "of", "it"]]
-    bare = "these are ten words of a paragraph without any mark"
-    assert m.sentences(f"{bare}\n\nA heading of six words here\n\n{bare}:\n\nLast.") == [bare.split(), bare.split(), ["last"]]
+def shares(out):
+    return {(r["doc_id"], r["subject"]): r["share"] for r in out.collect()}
+
+
+def test_blocks_of_test_items_give_the_same(spark, scratch):
+    docs, truth = corpus(60, 2)
+    labels = [(i, s) for i in range(40) for s in truth[i]]
+    items = spark.createDataFrame([(docs[i][1],) for i in (3, 9, 14)] + [(None,)], "text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    la = spark.createDataFrame(labels, "doc_id long, subject string")
+    one = shares(m.subject_shares(d, la, list(TOPICS), scratch, items))
+    assert one == shares(m.subject_shares(d, la, list(TOPICS), scratch, items, most=40))
+    assert not {k for k in one if k[0] in (3, 9, 14)}
+
+
+def test_a_subject_of_few_documents_is_found(spark, scratch):
+    docs, truth = corpus(900, 3)
+    few = [(i, t) for i, t in docs if "law" not in truth[i]] + [(i, t) for i, t in docs if truth[i] == {"law"}][:6]
+    labels = [(i, s) for i, _ in few if i % 2 == 0 or truth[i] == {"law"} for s in truth[i]][:400]
+    labels += [(i, "law") for i, _ in few[-4:]]
+    got = shares(run(spark, scratch, few, labels))
+    assert all(got.get((i, "law"), 0) >= 0.2 for i, _ in few[-6:])
+
+
+def test_languages_are_told_by_the_tags(spark, scratch):
+    de = {"sea": "welle flut hafen anker matrose riff koralle schiff", "law": "gericht richter gesetz berufung urteil anwalt klausel prozess", "food": "brot butter ofen rezept mehl zucker teig herd"}
+    fill = "der {} und die {} wurden mit {} bei dem {} wieder gesehen."
+    rng = random.Random(4)
+    docs, truth = corpus(200, 4)
+    rows = [(i, t, rng.choice(["en", "EN", "en-GB", "eng", None, "de"] if i % 7 == 0 else ["en"])) for i, t in docs]
+    for i in range(1000, 1200):
+        topic = rng.choice(sorted(de))
+        truth[i] = {topic}
+        rows.append((i, " ".join(fill.format(*rng.choices(de[topic].split(), k=4)) for _ in range(8)), rng.choice(["de", "de", "de", "deu", None])))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    la = spark.createDataFrame([(i, s) for i in truth if i % 4 == 0 for s in truth[i]], "doc_id long, subject string")
+    assert len(m.languages(m.count_words(m.cleaned(m.tagged(d), None))).own) == 2
+    got = {}
+    for (i, s), share in shares(m.subject_shares(d, la, list(TOPICS), scratch)).items():
+        if share >= 0.2:
+            got.setdefault(i, set()).add(s)
+    assert np.mean([got.get(i, set()) == t for i, t in truth.items() if i % 4]) > 0.95
+
+
+def test_held_out_labels_of_the_tables(spark, scratch):
+    """A fifth of the labels is not shown to the operator; a tenth of all labels is wrong on purpose."""
+    at = "/root/testdata/sf0.01"
+    docs, labels, items = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "subject_label", "eval_item"))
+    areas = [r[0] for r in spark.read.parquet(f"{at}/subject_area.parquet").select("subject").collect()]
+    held = "doc_id % 5 = 0"
+    got = {(i, s.lower()) for (i, s), x in shares(m.subject_shares(docs, labels.where(f"not {held}"), areas, scratch, items)).items() if x >= 0.2}
+    asked = {(r[0], r[1].strip().lower()) for r in labels.where(held).where("subject is not null").collect()}
+    asked = {(i, s) for i, s in asked if s in {a.lower() for a in areas}}
+    assert len(asked) > 15 and len(asked & got) >= 0.85 * len(asked)
 
 
 def test_digamma():

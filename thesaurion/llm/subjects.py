@@ -1,115 +1,58 @@
 """Problem 10: subject areas of documents by latent Dirichlet topics.
 
-1. Words are counted per language over all documents; words that are too rare or too common in it form no vocabulary.
-2. One topic model per language is fitted by distributed variational Bayes: each round every partition infers its
-   documents' topic weights and adds up expected word counts, which are summed by a tree of tasks. Some topics start
-   near the words of a subject's labelled examples, the others free.
-3. A topic stands for a subject if its top terms do, judged by the labelled examples in which these terms occur.
-4. A sentence treats of a subject if the topics of its words do; a document has the subjects of a fifth of its
+1. Words are hashed once, sentence by sentence; later steps see numbers only. Words that a hundredth of a language's
+   documents hold have a column of their own, all rarer ones share BUCKETS columns by their hash, so that no word is left
+   out and the memory of a model is bounded.
+2. The languages are those that the documents' tags name, told by the words their documents hold; tags with like words
+   are one language.
+3. One topic model per language is fitted by distributed variational Bayes: each round every partition infers its
+   documents' topic weights and adds up expected word counts, which are summed by a tree of tasks, until the topics stay
+   as they are. Some topics start near the words of a subject's labelled examples, the others free.
+4. A topic stands for a subject if its top terms do, judged by the labelled examples in which these terms occur.
+5. A sentence treats of a subject if the topics of its words do; a document has the subjects of a fifth of its
    sentences, sentences taken from test items left aside.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thesaurion.llm.words import mended, plain
+from thesaurion.llm.tokens import Tokens, Triples, batches, tokens, triples
 from thesaurion.runtime import Scratch
 
-#: Frequent function words by which a text's language is told.
-LANGUAGES = {
-    "en": "the of and was is in for that with to be not had",
-    "de": "der die das und wurde ist für von nicht zu bei als den",
-    "fr": "le la les de et des est une pour dans après du que",
-}
-
 FREE = 10  #: topics besides one per subject
-ROUNDS = 5  #: rounds of fitting
+ROUNDS = 12  #: rounds of fitting at most
+STILL = 0.02  #: the share of the topics' weight that may still move when fitting ends
 INNER = 6  #: inner rounds per document
-RAREST, COMMONEST = 0.01, 0.6  #: shares of a language's documents that hold a word of the vocabulary
-FLAT = 0.25  #: beyond this share a word is used only if the labelled examples that hold it speak for one subject
+OWN_COLUMN = 0.01  #: share of a language's documents that hold a word with a column of its own
+BUCKETS = 1 << 14  #: columns that the rarer words share
+FLAT = 0.25  #: beyond this share a word counts only if the labelled examples that hold it speak for one subject
 LEAST_DOCS = 3
+TAG_SHARE, TAG_DOCS, ALIKE = 0.001, 5, 0.6  #: documents of a tag that names a language; likeness of tags of one language
 TOP = 20  #: terms by which a topic is judged
 SURE = 0.5  #: share of a topic's top-term weight that must speak for one subject
-HEADING = 8  #: words of a heading at most
 SHARE = 0.2  #: share of a document's sentences
 WEIGHT = 0.5  #: of the topical words of a sentence that must belong to the subject
 ETA, PRIOR = 0.02, 0.1
-
-#: A word, or the end of a sentence: an end mark, perhaps closing quotes or brackets, before white space or the end.
-_TOKEN = re.compile(r"[^\W_]+|[.!?。][\"'”’)\]]*(?=\s|$)")
-_BLOCK = re.compile(r"\n\s*\n")
-_CLOSED = re.compile(r"[.!?。][\"'”’)\]*_]*\s*$")
-_TAG = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|&#\d{1,5};")
-_TOLD = {w: k for k, ws in LANGUAGES.items() for w in ws.split()}
-
-
-def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence; wordless ones left out, and headings: blocks before further text of
-    at most HEADING words that neither end in an end mark nor hold a finished sentence (three words; 'no.' ends none)."""
-    text = mended(text)
-    if "<" in text or "&" in text:
-        text = _TAG.sub(" ", text)
-    blocks = [b for b in _BLOCK.split(text) if b.strip()] if "\n" in text else [text]
-    out = []
-    for i, b in enumerate(blocks):
-        found = _TOKEN.findall(plain(b))
-        ends = [k for k, t in enumerate(found) if t[0] in ".!?。"]
-        if i + 1 < len(blocks) and len(found) - len(ends) <= HEADING and not _CLOSED.search(b):
-            if all(end - begin <= 3 for begin, end in zip([-1, *ends], ends)):
-                continue
-        at = 0
-        for end in ends:
-            if end > at:
-                out.append(found[at:end])
-            at = end + 1
-        if at < len(found):
-            out.append(found[at:])
-    return out
-
-
-def language(found: list[list[str]]) -> str:
-    """The language most of whose function words occur; the first listed if none does."""
-    n: Counter = Counter()
-    for s in found:
-        n.update(map(_TOLD.get, s))
-    return max(LANGUAGES, key=lambda k: n[k])
-
-
-@dataclass(frozen=True)
-class Tests:
-    """Word triples of the test items, and their words."""
-
-    triples: frozenset
-    vocab: frozenset
-
-    @staticmethod
-    def of(texts: list[str]) -> Tests:
-        triples = frozenset(g for t in texts for s in sentences(t) for g in zip(s, s[1:], s[2:]))
-        return Tests(triples, frozenset(w for g in triples for w in g))
-
-    def has(self, s: list[str]) -> bool:
-        """Whether half of a sentence's word triples stand in test items; then half of its words do, which is told sooner."""
-        if len(s) < 3 or 2 * sum(map(self.vocab.__contains__, s)) < len(s):
-            return False
-        return 2 * sum(map(self.triples.__contains__, zip(s, s[1:], s[2:]))) >= len(s) - 2
+DRAW = 20  #: counts a column is given besides its own, parted like all words among the topics
+TEST_TRIPLES = 4_000_000  #: word triples of test items that a task holds at once
+_DOCS = 1000  #: documents inferred together
 
 
 @dataclass
 class Model:
-    """Topics of one language: lam (topic x word) are the variational word counts, owner the subject of each topic or -1,
-    used the words that count."""
+    """Topics of one language: lam (topic x column) are the variational word counts, owner the subject of each topic or
+    -1, used the columns that count, own the hashes of the words that have a column, which come first."""
 
-    vocab: dict[str, int]
+    own: np.ndarray
     lam: np.ndarray
     owner: np.ndarray
     used: np.ndarray
@@ -131,142 +74,360 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return shift + np.log(y) - 0.5 / y - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
-def infer(counts: np.ndarray, weights: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
-    """(gamma, ratio): variational topic weights of each row of counts, and counts over their expectation."""
-    k = len(weights)
-    gamma = np.ones((len(counts), k), np.float32) + counts.sum(1, keepdims=True, dtype=np.float32) / k
-    for _ in range(inner):
-        theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1, keepdims=True))).astype(np.float32)
-        ratio = counts / (theta @ weights + 1e-30)
-        gamma = PRIOR + theta * (ratio @ weights.T)
-    theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1, keepdims=True))).astype(np.float32)
-    return theta, counts / (theta @ weights + 1e-30)
+class Block:
+    """Word counts of some documents: dense where words have a column of their own, the rest as (row, column, count)."""
 
+    def __init__(self, row: np.ndarray, col: np.ndarray, count: np.ndarray, docs: int, own: int, used: np.ndarray):
+        keep = used[col]
+        row, col, count = row[keep], col[keep], count[keep].astype(np.float32)
+        wide = col < own
+        self.own = own
+        self.dense = np.zeros((docs, own), np.float32)
+        self.dense[row[wide], col[wide]] = count[wide]
+        self.row, self.col, self.count = row[~wide], col[~wide], count[~wide]
+        self.first = np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1]]) if len(self.row) else np.array([], int)
+        self.size = np.bincount(row, weights=count, minlength=docs).astype(np.float32)
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    def ratio(self, theta: np.ndarray, weights: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts over their expectation, of the dense and the sparse part. rare: the weights at the sparse entries."""
+        wide = self.dense / (theta @ weights[:, : self.own] + 1e-30)
+        return wide, self.count / (np.einsum("nk,nk->n", theta[self.row], rare) + 1e-30)
 
+    def infer(self, weights: np.ndarray, inner: int = INNER) -> np.ndarray:
+        """Variational topic weights of each document."""
+        k = len(weights)
+        rare = np.ascontiguousarray(weights[:, self.col].T)
+        wide_t = np.ascontiguousarray(weights[:, : self.own].T)
+        gamma = np.ones((len(self.size), k), np.float32) + self.size[:, None] / k
+        for _ in range(inner):
+            theta = _mean(gamma)
+            wide, thin = self.ratio(theta, weights, rare)
+            share = wide @ wide_t
+            if len(self.first):
+                share[self.row[self.first]] += np.add.reduceat(thin[:, None] * rare, self.first)
+            gamma = PRIOR + theta * share
+        return _mean(gamma)
 
-def cleaned(docs: DataFrame, tests: Tests) -> DataFrame:
-    """(doc_id, lang, words): each document's own sentences, a line each, words parted by blanks."""
+    def expected(self, theta: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Expected counts per topic and column."""
+        wide, thin = self.ratio(theta, weights, weights[:, self.col].T)
+        out = np.zeros(weights.shape, np.float64)
+        out[:, : self.own] = (theta.T @ wide) * weights[:, : self.own]
+        at, place = np.unique(self.col, return_inverse=True)
+        for i in range(len(weights)):
+            out[i, at] = np.bincount(place, weights=thin * theta[self.row, i], minlength=len(at)) * weights[i, at]
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"].tolist(), b["text"]):
-                found = [s for s in sentences(text) if not tests.has(s)]
-                rows.append((doc, language(found), "\n".join(map(" ".join, found))))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "words"])
 
-    return docs.mapInPandas(run, "doc_id long, lang string, words string")
+def _mean(gamma: np.ndarray) -> np.ndarray:
+    return np.exp(_digamma(gamma) - _digamma(gamma.sum(1, keepdims=True))).astype(np.float32)
 
 
-def count_words(clean: DataFrame) -> DataFrame:
-    """(lang, word, n): documents of a language that hold a word, counted within each task first; word '' counts them all."""
+def _lists(values: np.ndarray, row: np.ndarray, rows: int, kind=np.int32) -> pa.ListArray:
+    """A column of lists from values and the row of each; rows only grow."""
+    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=rows))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(kind)))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
-        for b in batches:
-            for lang, text in zip(b["lang"], b["words"]):
-                n[lang].update({"", *text.split()})
-        rows = [(k, w, v) for k, c in n.items() for w, v in c.items()]
-        yield pd.DataFrame(rows, columns=["lang", "word", "n"])
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each element, elements) of a column of lists."""
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(size)), size), column.flatten().to_numpy(zero_copy_only=False)
 
-    return clean.select("lang", "words").mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
+def _ends(sentence: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places after the last word of each sentence, counted within its text; the text) for words in order."""
+    end = np.flatnonzero(np.r_[sentence[1:] != sentence[:-1], True]) + 1 if len(sentence) else np.array([], int)
+    begin = np.r_[0, np.cumsum(np.bincount(text, minlength=texts))]
+    return end - begin[text[end - 1]], text[end - 1]
 
-def bags(clean: DataFrame, vocab: dict[str, dict[str, int]]) -> DataFrame:
-    """(doc_id, lang, word, cut): the vocabulary words of each document in order, and where its sentences end in it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, lang, text in zip(b["doc_id"].tolist(), b["lang"], b["words"]):
-                get = vocab.get(lang, {}).get
-                word, cut = [], []
-                for s in text.split("\n") if text else ():
-                    word += [i for i in map(get, s.split(" ")) if i is not None]
-                    cut.append(len(word))
-                rows.append((doc, lang, word, cut))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "word", "cut"])
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text): the tag is the leading letters of lang in lower case, '' if there are none."""
+    tag = F.lower(F.regexp_extract("lang", r"^\s*(\p{L}+)", 1)) if "lang" in docs.columns else F.lit("")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.coalesce(tag, F.lit("")).alias("tag"), "text")
 
-    return clean.mapInPandas(run, "doc_id long, lang string, word array<int>, cut array<int>")
 
+_CLEAN = "doc_id long, tag string, word array<int>, cut array<int>"
 
-def _flat(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each element, elements) of a column of arrays."""
-    size = np.array([len(r) for r in rows], np.int64)
-    return np.repeat(np.arange(len(rows)), size), np.concatenate(rows.to_list()).astype(np.int64) if size.sum() else np.array([], np.int64)
 
+def cleaned(docs: DataFrame, tests: Triples | None) -> DataFrame:
+    """(doc_id, tag, word, cut): the hashed words of each document in order and where its sentences end in them; sentences
+    half of whose triples are in `tests` are left out."""
 
-def _counts(rows: pd.Series, v: int) -> np.ndarray:
-    row, word = _flat(rows)
-    return np.bincount(row * v + word, minlength=len(rows) * v).reshape(len(rows), v).astype(np.float32)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            texts = b.column(2).to_pylist()
+            for lo, hi in batches(texts):
+                t = tokens(texts[lo:hi])
+                if tests is not None:
+                    t = t.where(~_taken(t.sentence, tests.hits(t))[t.sentence])
+                cut, of = _ends(t.sentence, t.text, hi - lo)
+                some = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _lists(t.word.view(np.int32), t.text, hi - lo), _lists(cut, of, hi - lo)], names=["doc_id", "tag", "word", "cut"])
 
+    return docs.mapInArrow(run, _CLEAN)
+
+
+def _taken(sentence: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Whether at least half of each sentence's triples were hit."""
+    size = np.bincount(sentence, minlength=len(hits))
+    return (size > 2) & (2 * hits >= size - 2)
+
+
+def _again(b: pa.RecordBatch) -> Tokens:
+    """The words of a batch of `cleaned`, sentences numbered again."""
+    text, word = _flat(b.column("word"))
+    of, cut = _flat(b.column("cut"))
+    begin = np.r_[0, np.cumsum(np.bincount(text, minlength=b.num_rows))]
+    sentence = np.repeat(np.arange(len(cut)), np.diff(np.r_[0, cut + begin[of]]))
+    return Tokens(word.astype(np.int32).view(np.uint32), text, sentence)
+
+
+def test_triples(items: DataFrame | None, scratch: Scratch) -> DataFrame | None:
+    """(code): the distinct word triples of the test items."""
+    if items is None:
+        return None
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            texts = b.column(0).to_pylist()
+            for lo, hi in batches(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(triples(tokens(texts[lo:hi]))[0]).view(np.int64))], names=["code"])
+
+    return scratch.cut(items.where("text is not null").select("text").mapInArrow(run, "code long").distinct())
+
+
+def without_tests(docs: DataFrame, codes: DataFrame | None, scratch: Scratch, most: int = TEST_TRIPLES) -> DataFrame:
+    """`cleaned` without the sentences of test items. Up to `most` triples are held by a task at once; more are taken in
+    blocks, one pass over the hashed words for each, hits of a sentence added up over the blocks."""
+    n = codes.count() if codes is not None else 0
+    load = lambda part: Triples.of(np.array([r[0] for r in part.toLocalIterator()], np.int64).view(np.uint64))
+    if n <= most:
+        return scratch.cut(cleaned(docs, load(codes) if n else None))
+    blocks = -(-n // most)
+    now = scratch.cut(cleaned(docs, None).withColumn("hit", F.transform("cut", lambda _: F.lit(0))))
+    for k in range(blocks):
+        some = load(codes.where(F.pmod("code", F.lit(blocks)) == k))
+
+        def add(parts: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                of, hit = _flat(b.column("hit"))
+                new = np.zeros(len(hit), np.int64)
+                found = some.hits(_again(b))
+                new[: len(found)] = found
+                yield b.set_column(b.schema.get_field_index("hit"), "hit", _lists(hit + new, of, b.num_rows))
+
+        now, old = scratch.cut(now.mapInArrow(add, _CLEAN + ", hit array<int>")), now
+        scratch.drop(old)
+
+    def drop(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            t = _again(b)
+            t = t.where(~_taken(t.sentence, _flat(b.column("hit"))[1])[t.sentence])
+            cut, of = _ends(t.sentence, t.text, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), _lists(t.word.view(np.int32), t.text, b.num_rows), _lists(cut, of, b.num_rows)], names=["doc_id", "tag", "word", "cut"])
+
+    return scratch.cut(now.mapInArrow(drop, _CLEAN))
 
-def _summed(parts: DataFrame) -> DataFrame:
-    """Rows of (lang, topic, row) added up per language and topic, by a tree of tasks."""
+
+def count_words(clean: DataFrame) -> DataFrame:
+    """(tag, word, n): documents with a tag that hold a word, counted within each task first; word 0 counts them all."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            tag = pc.dictionary_encode(b.column("tag"))
+            code = tag.indices.to_numpy(zero_copy_only=False).astype(np.uint64)
+            text, word = _flat(b.column("word"))
+            word = word.astype(np.int32).view(np.uint32)
+            words = (word & 1) == 1
+            held = np.unique(text[words].astype(np.uint64) << np.uint64(32) | word[words])
+            pairs = (code[held >> np.uint64(32)] << np.uint64(32)) | (held & np.uint64(0xFFFFFFFF))
+            pair, n = np.unique(np.r_[pairs, code << np.uint64(32)], return_counts=True)
+            names = tag.dictionary.take(pa.array((pair >> np.uint64(32)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([names, pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int64))], names=["tag", "word", "n"])
+
+    return clean.select("tag", "word").mapInArrow(run, "tag string, word int, n long").groupBy("tag", "word").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Languages:
+    """The languages of a corpus: words by which they are told, sorted hashes, and for each word and language how much
+    it speaks for the language; the last row stands for other words. own: the words of each with a column."""
+
+    words: np.ndarray
+    speaks: np.ndarray
+    prior: np.ndarray
+    own: list[np.ndarray]
+
+    def of(self, text: np.ndarray, word: np.ndarray, texts: int) -> np.ndarray:
+        """The language of each text from its distinct words."""
+        score = np.tile(self.prior, (texts, 1))
+        at = np.minimum(np.searchsorted(self.words, word), max(len(self.words) - 1, 0))
+        known = self.words[at] == word if len(self.words) else np.zeros(len(word), bool)
+        for i in range(score.shape[1]):
+            score[:, i] += np.bincount(text[known], weights=self.speaks[at[known], i], minlength=texts)
+        return score.argmax(1)
+
+
+def languages(counted: DataFrame) -> Languages:
+    """From the words counted per tag. What reaches the driver: tags that a thousandth of the documents bear, and for each
+    the words that a hundredth of its documents hold, so at most 1,000 tags and a hundred times the mean number of a
+    document's words for each."""
+    total = [(r["tag"], r["n"]) for r in counted.where("word = 0").orderBy(F.desc("n"), "tag").limit(int(1 / TAG_SHARE) + 1).collect()]
+    every = sum(n for _, n in total)
+    total = [(t, n) for t, n in total if n >= max(TAG_DOCS, TAG_SHARE * every)] or total[:1]
+    if not total:
+        return Languages(np.array([], np.uint32), np.zeros((0, 1)), np.zeros(1), [np.array([], np.uint32)])
+    spark = counted.sparkSession
+    least = spark.createDataFrame([(t, float(max(LEAST_DOCS, OWN_COLUMN * n))) for t, n in total], "tag string, least double")
+    rows = counted.where("word <> 0").join(F.broadcast(least), "tag").where("n >= least").select("tag", "word", "n").collect()
+    words = np.unique(np.array([r["word"] for r in rows], np.int32).view(np.uint32))
+    place = {t: i for i, (t, _) in enumerate(total)}
+    n = np.zeros((len(words), len(total)))
+    for r in rows:
+        n[np.searchsorted(words, np.uint32(r["word"] & 0xFFFFFFFF)), place[r["tag"]]] = r["n"]
+    # tags with like words are one language; the larger tag leads
+    root = np.sqrt(n / np.maximum(n.sum(0), 1))
+    lead: list[int] = []
+    for i in range(len(total)):
+        to = next((j for j in lead if root[:, i] @ root[:, j] >= ALIKE), None)
+        if to is None:
+            lead.append(i)
+        else:
+            n[:, to] += n[:, i]
+    docs = np.array([total[i][1] for i in lead], float)
+    n = n[:, lead]
+    share = (n + 0.5 * n.sum(1, keepdims=True) / max(n.sum(), 1)) / np.maximum(n.sum(0) + 0.5, 1)
+    return Languages(words, np.log(share + 1e-12), np.log(docs / docs.sum()), [words[n[:, k] >= max(LEAST_DOCS, OWN_COLUMN * d)] for k, d in enumerate(docs)])
+
+
+_BAGS = "doc_id long, lang int, word array<int>, cut array<int>, col array<int>, n array<int>"
+
+
+def bags(clean: DataFrame, langs: Languages) -> DataFrame:
+    """(doc_id, lang, word, cut, col, n): the column of each word of a document in order, -1 for numbers, where its
+    sentences end, and its distinct columns with their counts."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            text, word = _flat(b.column("word"))
+            word = word.astype(np.int32).view(np.uint32)
+            real = (word & 1) == 1
+            held = np.unique(text[real].astype(np.uint64) << np.uint64(32) | word[real])
+            lang = langs.of((held >> np.uint64(32)).astype(np.int64), (held & np.uint64(0xFFFFFFFF)).astype(np.uint32), b.num_rows)
+            col = np.full(len(word), -1, np.int64)
+            for k, own in enumerate(langs.own):
+                mine = real & (lang[text] == k)
+                w = word[mine]
+                at = np.minimum(np.searchsorted(own, w), max(len(own) - 1, 0))
+                rare = len(own) + ((w >> np.uint32(1)) * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int64) % BUCKETS
+                col[mine] = np.where(own[at] == w, at, rare) if len(own) else rare
+            pair, n = np.unique(text[col >= 0] << 32 | col[col >= 0], return_counts=True)
+            lists = [_lists(col, text, b.num_rows), b.column("cut"), _lists(pair & 0xFFFFFFFF, pair >> 32, b.num_rows), _lists(n, pair >> 32, b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang.astype(np.int32)), *lists], names=["doc_id", "lang", "word", "cut", "col", "n"])
+
+    return clean.mapInArrow(run, _BAGS)
+
+
+def _rows(sums: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of some matrices, one per language, that hold anything: (lang, topic, row)."""
+    held = [(k, i, m[i]) for k, m in enumerate(sums) for i in np.flatnonzero(m.any(1))]
+    lists = pa.array([r for _, _, r in held], pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in held], pa.int32()), pa.array([i for _, i, _ in held], pa.int32()), lists], names=["lang", "topic", "row"])
+
+
+_ROWS = "lang int, topic int, row array<double>"
+
+
+def _summed(parts: DataFrame, shapes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Rows of (lang, topic, row) added up per language and topic by a tree of tasks; a bounded matrix per language."""
     sums = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
     for keys in (["lang", "topic", "salt"], ["lang", "topic"]):
-        shape = "lang string, topic int" + ", salt int" * (len(keys) == 3) + ", row array<double>"
+        shape = "lang int, topic int" + ", salt int" * (len(keys) == 3) + ", row array<double>"
         sums = sums.groupBy(*keys).applyInPandas(_adder(keys), shape)
-    return sums
+    out = [np.zeros(s) for s in shapes]
+    for r in sums.toArrow().to_batches():
+        for k, i, row in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2)):
+            out[k][i] += row.values.to_numpy()
+    return out
 
 
 def _adder(keys: list[str]):
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"row": [np.sum(np.stack(pdf["row"].to_list()), 0)]})
+        total = np.zeros(len(pdf["row"].iloc[0]))
+        for row in pdf["row"]:
+            total += row
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"row": [total]})
 
     return add
 
 
-def examples(bagged: DataFrame, known: DataFrame, sizes: dict[str, int], subjects: int) -> dict[str, np.ndarray]:
-    """Per language, subject x (1 + vocabulary): labelled examples, and those of them that hold each word."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {k: np.zeros((subjects, v + 1)) for k, v in sizes.items()}
-        for b in batches:
-            for lang, word, own in zip(b["lang"], b["word"], b["own"]):
-                if lang in total:
-                    for i in own:
-                        total[lang][i, 0] += 1
-                        total[lang][i, 1 + np.unique(word).astype(int)] += 1
-        rows = [(k, i, row.tolist()) for k, t in total.items() for i, row in enumerate(t) if row.any()]
-        yield pd.DataFrame(rows, columns=["lang", "topic", "row"])
-
-    out = {k: np.zeros((subjects, v + 1)) for k, v in sizes.items()}
-    joined = bagged.select("doc_id", "lang", "word").join(known, "doc_id").drop("doc_id")
-    for r in _summed(joined.mapInPandas(run, "lang string, topic int, row array<double>")).collect():
-        out[r["lang"]][r["topic"]] = r["row"]
-    return out
-
-
-def fit(bagged: DataFrame, models: dict[str, Model], rounds: int = ROUNDS) -> dict[str, Model]:
-    """Rounds of variational Bayes over all documents. What a round sends to the driver is topics times vocabulary."""
-    langs = sorted(models)
+def examples(bagged: DataFrame, known: DataFrame, widths: list[int], subjects: int) -> list[np.ndarray]:
+    """Per language, (subject, and last all documents) x (1 + columns): documents, and those of them that hold each column."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((subjects + 1, w + 1)) for w in widths]
+        for b in parts:
+            lang = b.column("lang").to_numpy(zero_copy_only=False)
+            text, col = _flat(b.column("col"))
+            who, own = _flat(b.column("own"))
+            for k, t in enumerate(total):
+                mine = lang == k
+                for i in range(subjects + 1):
+                    some = mine if i == subjects else mine & np.isin(np.arange(len(lang)), who[own == i])
+                    if some.any():
+                        t[i, 0] += some.sum()
+                        t[i, 1:] += np.bincount(col[some[text]], minlength=t.shape[1] - 1)
+        yield _rows(total)
+
+    joined = bagged.select("doc_id", "lang", "col").join(known, "doc_id", "left").select("lang", "col", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
+    return _summed(joined.mapInArrow(run, _ROWS), [(subjects + 1, w + 1) for w in widths])
+
+
+def _blocks(b: pa.RecordBatch, models: list[Model]) -> Iterator[tuple[int, np.ndarray, Block]]:
+    """(language, rows, counts) of the documents of a batch, at most _DOCS at a time."""
+    lang = b.column("lang").to_numpy(zero_copy_only=False)
+    text, col = _flat(b.column("col"))
+    n = b.column("n").flatten().to_numpy(zero_copy_only=False)
+    for k, m in enumerate(models):
+        rows = np.flatnonzero(lang == k)
+        for lo in range(0, len(rows), _DOCS):
+            some = rows[lo : lo + _DOCS]
+            place = np.full(len(lang), -1)
+            place[some] = np.arange(len(some))
+            mine = place[text] >= 0
+            yield k, some, Block(place[text[mine]], col[mine], n[mine], len(some), len(m.own), m.used)
+
+
+def fit(bagged: DataFrame, models: list[Model], rounds: int = ROUNDS, still: float = STILL) -> list[Model]:
+    """Rounds of variational Bayes over all documents until less than `still` of the topics' weight moves. What a round
+    sends to the driver is topics times columns."""
+    sc = bagged.sparkSession.sparkContext
+    data = bagged.select("lang", "col", "n")
     for _ in range(rounds):
-        weights = {k: models[k].weights() for k in langs}
-        used = {k: models[k].used for k in langs}
-
-        def run(batches: Iterator[pd.DataFrame], weights=weights, used=used) -> Iterator[pd.DataFrame]:
-            total = {k: np.zeros(w.shape, np.float64) for k, w in weights.items()}
-            for b in batches:
-                for lang, part in b.groupby("lang"):
-                    if lang not in weights:
-                        continue
-                    w = weights[lang]
-                    for lo in range(0, len(part), 1000):
-                        counts = _counts(part["word"].iloc[lo : lo + 1000], w.shape[1]) * used[lang]
-                        theta, ratio = infer(counts[counts.sum(1) > 0], w)
-                        total[lang] += (theta.T @ ratio) * w
-            rows = [(k, i, row.tolist()) for k, t in total.items() if t.any() for i, row in enumerate(t)]
-            yield pd.DataFrame(rows, columns=["lang", "topic", "row"])
-
-        sums = _summed(bagged.select("lang", "word").mapInPandas(run, "lang string, topic int, row array<double>"))
-        new = {k: np.full_like(models[k].lam, ETA) for k in langs}
-        for r in sums.collect():
-            new[r["lang"]][r["topic"]] += np.array(r["row"])
-        models = {k: Model(models[k].vocab, new[k], models[k].owner, models[k].used) for k in langs}
+        shared = sc.broadcast([(m, m.weights()) for m in models])
+
+        def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held = [m for m, _ in shared.value]
+            total = [np.zeros(w.shape) for _, w in shared.value]
+            for b in parts:
+                for k, _, block in _blocks(b, held):
+                    w = shared.value[k][1]
+                    total[k] += block.expected(block.infer(w), w)
+            yield _rows(total)
+
+        sums = _summed(data.mapInArrow(run, _ROWS), [m.lam.shape for m in models])
+        shared.unpersist()
+        moved, weight = 0.0, 0.0
+        for m, s in zip(models, sums):
+            # a column is drawn towards the topics' shares of the corpus, so that few counts say little
+            new = s + ETA + DRAW * (s.sum(1, keepdims=True) / max(s.sum(), 1)) * m.used
+            moved += (np.abs(new / new.sum(1, keepdims=True) - m.lam / m.lam.sum(1, keepdims=True)).sum(1) / 2 * s.sum(1)).sum()
+            weight += s.sum()
+            m.lam = new
+        if moved <= still * weight:
+            break
     return models
 
 
@@ -287,105 +448,90 @@ def judged(model: Model, speak: np.ndarray, subjects: int) -> np.ndarray:
     return owner
 
 
-def start(vocab: dict[str, int], df: np.ndarray, docs: int, seen: np.ndarray, seed: int = 3) -> tuple[Model, np.ndarray]:
-    """First topics of a language from its word counts and labelled examples, and how much each word speaks for each
-    subject: a word speaks for the subjects in whose examples it is over-represented."""
-    base, per = seen[:, 0], seen[:, 1:].T
+def start(own: np.ndarray, seen: np.ndarray, seed: int = 3) -> tuple[Model, np.ndarray]:
+    """First topics of a language from its word counts and labelled examples, and how much each column speaks for each
+    subject: it speaks for the subjects in whose examples it is over-represented; columns that few examples hold are
+    drawn towards their share of all documents and speak for nobody."""
+    base, per = seen[:-1, 0], seen[:-1, 1:].T
+    docs, df = seen[-1, 0], seen[-1, 1:]
     subjects = len(base)
-    rate = (per + 0.02) / (base + 1)
+    expected = (df / max(docs, 1))[:, None]
+    draw = max(base.mean(), 1)
+    rate = (per + draw * expected + 1e-9) / (base + draw)
     speak = rate**2 / (rate**2).sum(1, keepdims=True) * (per.sum(1, keepdims=True) > 0)
     rng = np.random.default_rng(seed)
-    lam = rng.gamma(100, 0.01, (subjects + FREE, len(vocab))) * df / df.sum() * len(vocab)
+    lam = rng.gamma(100, 0.01, (subjects + FREE, len(df))) * df / max(df.sum(), 1) * len(df)
     for i in np.flatnonzero(base):
         lam[i] *= 0.05 + 4 * speak[:, i] ** 2
-    used = (df <= FLAT * docs) | (speak.max(1) >= 0.5)
-    return Model(vocab, lam + ETA, np.full(subjects + FREE, -1), used), speak
+    used = (df > 0) & ((df <= FLAT * docs) | (speak.max(1) >= 0.5))
+    return Model(own, lam + ETA, np.full(subjects + FREE, -1), used), speak
 
 
-def assign(bagged: DataFrame, models: dict[str, Model], subjects: int) -> DataFrame:
+def assign(bagged: DataFrame, models: list[Model], subjects: int) -> DataFrame:
     """(doc_id, subject number, share): the share of a document's sentences that treat of each subject, if any does."""
-    weights = {k: m.weights() for k, m in models.items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: list[tuple[int, int, float]] = []
-            for lang, part in b.groupby("lang"):
-                if lang not in weights:
+    shared = bagged.sparkSession.sparkContext.broadcast([(m, m.weights()) for m in models])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [m for m, _ in shared.value]
+        of = []
+        for m in held:
+            of.append(np.zeros((len(m.owner), subjects), np.float32))
+            of[-1][np.flatnonzero(m.owner >= 0), m.owner[m.owner >= 0]] = 1
+        for b in parts:
+            text, word = _flat(b.column("word"))
+            who, cut = _flat(b.column("cut"))
+            begin = np.r_[0, np.cumsum(np.bincount(text, minlength=b.num_rows))]
+            share = np.zeros((b.num_rows, subjects))
+            for k, rows, block in _blocks(b, held):
+                m, w = shared.value[k]
+                theta = block.infer(w)
+                # what the topics of a document say of each of its columns
+                place = np.full(b.num_rows, -1)
+                place[rows] = np.arange(len(rows))
+                here = np.flatnonzero(place[text] >= 0)
+                col = word[here]
+                real = (col >= 0) & m.used[np.maximum(col, 0)]
+                p = theta[place[text[here[real]]]] * w[:, col[real]].T
+                p = (p @ of[k]) / p.sum(1, keepdims=True)
+                mass = np.zeros((len(here), subjects), np.float32)
+                mass[real] = p
+                total = np.vstack([np.zeros((1, subjects)), np.cumsum(mass, 0, dtype=np.float64)])
+                n = np.r_[0, np.cumsum(real)]
+                mine = np.flatnonzero(place[who] >= 0)
+                if not len(mine):
                     continue
-                w, owner = weights[lang], models[lang].owner
-                of = np.zeros((len(owner), subjects), np.float32)
-                of[np.flatnonzero(owner >= 0), owner[owner >= 0]] = 1
-                for lo in range(0, len(part), 1000):
-                    some = part.iloc[lo : lo + 1000]
-                    used = models[lang].used
-                    theta, _ = infer(_counts(some["word"], w.shape[1]) * used, w)
-                    row, word = _flat(some["word"])
-                    p = theta[row] * w[:, word].T
-                    p = (p / p.sum(1, keepdims=True)) @ of * used[word][:, None]
-                    doc, cut = _flat(some["cut"])
-                    if not len(doc):
-                        continue
-                    # ends of sentences in the words of all these documents
-                    end = cut + np.r_[0, np.cumsum([len(x) for x in some["word"]])][doc]
-                    begin = np.r_[0, end[:-1]]
-                    total = np.vstack([np.zeros((1, subjects)), np.cumsum(p, 0, dtype=np.float64)])
-                    n = np.r_[0, np.cumsum(used[word])]
-                    mass, size = total[end] - total[begin], (n[end] - n[begin])[:, None]
-                    hit = (mass >= WEIGHT * size - 1e-6) & (mass >= WEIGHT - 1e-6)
-                    share = np.zeros((len(some), subjects))
-                    np.add.at(share, doc, hit)
-                    share /= np.maximum(np.bincount(doc, minlength=len(some)), 1)[:, None]
-                    r, c = np.nonzero(share)
-                    out += zip(some["doc_id"].to_numpy()[r].tolist(), c.tolist(), share[r, c].tolist())
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
-
-    return bagged.mapInPandas(run, "doc_id long, subject int, share double")
-
-
-def test_items(items: DataFrame | None, most: int = 50_000_000) -> Tests:
-    """The test items, a fixed table; its size is checked, as every task holds it."""
-    if items is None:
-        return Tests.of([])
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > most:
-        raise ValueError(f"test items of {size} characters: pass them in parts of at most {most}")
-    return Tests.of([r["text"] for r in items.where("text is not null").select("text").toLocalIterator()])
-
+                end = np.searchsorted(here, cut[mine] + begin[who[mine]])
+                first = np.r_[0, end[:-1]]
+                part, size = total[end] - total[first], (n[end] - n[first])[:, None]
+                hit = (part >= WEIGHT * size - 1e-6) & (part >= WEIGHT - 1e-6)
+                np.add.at(share, who[mine], hit)
+            share /= np.maximum(np.bincount(who, minlength=b.num_rows), 1)[:, None]
+            r, c = np.nonzero(share)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(r)), pa.array(c.astype(np.int32)), pa.array(share[r, c])], names=["doc_id", "subject", "share"])
 
-def _any(conditions: list) :
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+    return bagged.mapInArrow(run, "doc_id long, subject int, share double")
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[str], scratch: Scratch, items: DataFrame | None = None) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[str], scratch: Scratch, items: DataFrame | None = None, most: int = TEST_TRIPLES) -> DataFrame:
     """doc_id, subject, share (of the document's sentences, above 0).
 
-    docs: doc_id long, text; labels: doc_id, subject as spelled by hand (trimmed and case-folded, unknown ones ignored);
-    areas: the subject names; items: test items whose sentences are left aside. Null, blank and wordless texts have no
-    subject; rows with a null doc_id are left out; a text of any length is read whole. Rows that repeat a doc_id are
-    documents in their own right. Other columns are not read. Without labels no topic has a subject, hence no rows."""
+    docs: doc_id long, text, and lang if the texts are tagged with their language (null, variant and wrong tags do no
+    harm); labels: doc_id, subject as spelled by hand (trimmed and case-folded, unknown ones ignored); areas: the subject
+    names; items: test items whose sentences are left aside. Null, blank and wordless texts have no subject; rows with a
+    null doc_id are left out; a text of any length is read whole. Rows that repeat a doc_id are documents in their own
+    right. Other columns are not read. Without labels no topic has a subject, hence no rows."""
     if not areas:
         return docs.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
     number = {a.casefold(): i for i, a in enumerate(areas)}
     known = labels.where("doc_id is not null").select("doc_id", F.lower(F.trim("subject")).alias("s")).where(F.col("s").isin(*number))
     known = known.groupBy("doc_id").agg(F.collect_set(F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("s"))).alias("own"))
-    clean = scratch.cut(cleaned(_documents(docs), test_items(items)))
-    counted = scratch.cut(count_words(clean))
-    total = {r["lang"]: r["n"] for r in counted.where("word = ''").collect()}
-    within = [(F.col("lang") == k) & F.col("n").between(max(LEAST_DOCS, math.ceil(RAREST * n)), COMMONEST * n) for k, n in total.items()]
-    by: dict[str, list] = {k: [] for k in total}
-    if within:
-        # at most (distinct words of a document on average) / RAREST for each language
-        for r in counted.where(_any(within)).where("word <> '' and not word rlike '^[0-9]+$'").collect():
-            by[r["lang"]].append((r["word"], r["n"]))
-    by = {k: sorted(v) for k, v in by.items() if v}
-    vocab = {k: {w: i for i, (w, _) in enumerate(v)} for k, v in by.items()}
-    bagged = scratch.cut(bags(clean, vocab))
-    seen = examples(bagged, known, {k: len(v) for k, v in vocab.items()}, len(areas))
-    begun = {k: start(vocab[k], np.array([n for _, n in by[k]], np.float64), total[k], seen[k]) for k in by}
-    models = fit(bagged, {k: m for k, (m, _) in begun.items()})
-    models = {k: Model(m.vocab, m.lam, judged(m, begun[k][1], len(areas)), m.used) for k, m in models.items()}
+    clean = without_tests(tagged(docs), test_triples(items, scratch), scratch, most)
+    langs = languages(scratch.cut(count_words(clean)))
+    bagged = scratch.cut(bags(clean, langs))
+    seen = examples(bagged, known, [len(own) + BUCKETS for own in langs.own], len(areas))
+    begun = [start(own, s) for own, s in zip(langs.own, seen)]
+    models = fit(bagged, [m for m, _ in begun])
+    for m, (_, speak) in zip(models, begun):
+        m.owner = judged(m, speak, len(areas))
     names = F.element_at(F.array(*[F.lit(a) for a in areas]), F.col("subject") + 1)
     return assign(bagged, models, len(areas)).select("doc_id", names.alias("subject"), "share")
