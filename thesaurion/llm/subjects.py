@@ -1,12 +1,12 @@
 """Problem 10: subject areas of documents by latent Dirichlet topics.
 
-1. Words are hashed once, sentence by sentence; later steps see numbers only. Words that a hundredth of a language's
+1. Words are hashed once, sentence by sentence; later steps see numbers only. Words that a five-hundredth of a language's
    documents hold have a column of their own, all rarer ones share BUCKETS columns by their hash, so that no word is left
    out and the memory of a model is bounded.
 2. The languages are those that the documents' tags name, told by the words their documents hold; tags with like words
    are one language.
 3. One topic model per language is fitted by distributed variational Bayes: each round every partition infers its
-   documents' topic weights and adds up expected word counts, which are summed by a tree of tasks, until the topics stay
+   documents' topic weights and adds up expected word counts, which are summed topic by topic, until the topics stay
    as they are. Some topics start near the words of a subject's labelled examples, the others free.
 4. A topic stands for a subject if its top terms do, judged by the labelled examples in which these terms occur.
 5. A sentence treats of a subject if the topics of its words do; a document has the subjects of a fifth of its
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,8 +31,9 @@ FREE = 10  #: topics besides one per subject
 ROUNDS = 12  #: rounds of fitting at most
 STILL = 0.02  #: the share of the topics' weight that may still move when fitting ends
 INNER = 6  #: inner rounds per document
-OWN_COLUMN = 0.01  #: share of a language's documents that hold a word with a column of its own
-BUCKETS = 1 << 14  #: columns that the rarer words share
+OWN_COLUMN = 0.002  #: share of a language's documents that hold a word with a column of its own
+COMMON = 0.01  #: share of those that hold a word whose counts are kept dense, and of a tag's that hold a telling word
+BUCKETS = 1 << 12  #: columns that the rarer words share
 FLAT = 0.25  #: beyond this share a word counts only if the labelled examples that hold it speak for one subject
 LEAST_DOCS = 3
 TAG_SHARE, TAG_DOCS, ALIKE = 0.001, 5, 0.6  #: documents of a tag that names a language; likeness of tags of one language
@@ -50,9 +50,9 @@ _DOCS = 1000  #: documents inferred together
 @dataclass
 class Model:
     """Topics of one language: lam (topic x column) are the variational word counts, owner the subject of each topic or
-    -1, used the columns that count, own the hashes of the words that have a column, which come first."""
+    -1, used the columns that count; the first `common` columns hold the words of most documents."""
 
-    own: np.ndarray
+    common: int
     lam: np.ndarray
     owner: np.ndarray
     used: np.ndarray
@@ -62,20 +62,18 @@ class Model:
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
-    """Recurrence up to 6, then the asymptotic series."""
-    x = np.asarray(x, np.float64)
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(6):
-        low = y < 6
-        shift = np.where(low, shift - 1 / y, shift)
-        y = np.where(low, y + 1, y)
+    """Six steps of the recurrence, then the asymptotic series."""
+    x = np.asarray(x)
+    y = x + 6
     inv = 1 / (y * y)
-    return shift + np.log(y) - 0.5 / y - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
+    shift = 1 / x
+    for i in range(1, 6):
+        shift += 1 / (x + i)
+    return np.log(y) - 0.5 / y - inv * (1 / 12 - inv * (1 / 120 - inv / 252)) - shift
 
 
 class Block:
-    """Word counts of some documents: dense where words have a column of their own, the rest as (row, column, count)."""
+    """Word counts of some documents: dense in the common columns, the rest as (row, column, count)."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, count: np.ndarray, docs: int, own: int, used: np.ndarray):
         keep = used[col]
@@ -84,7 +82,8 @@ class Block:
         self.own = own
         self.dense = np.zeros((docs, own), np.float32)
         self.dense[row[wide], col[wide]] = count[wide]
-        self.row, self.col, self.count = row[~wide], col[~wide], count[~wide]
+        thin = np.flatnonzero(~wide)
+        self.row, self.col, self.count = row[thin], col[thin], count[thin]
         self.first = np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1]]) if len(self.row) else np.array([], int)
         self.size = np.bincount(row, weights=count, minlength=docs).astype(np.float32)
 
@@ -148,12 +147,12 @@ def tagged(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.coalesce(tag, F.lit("")).alias("tag"), "text")
 
 
-_CLEAN = "doc_id long, tag string, word array<int>, cut array<int>"
+_CLEAN = "doc_id long, tag string, word array<int>, n array<int>, at array<int>, cut array<int>"
 
 
 def cleaned(docs: DataFrame, tests: Triples | None) -> DataFrame:
-    """(doc_id, tag, word, cut): the hashed words of each document in order and where its sentences end in them; sentences
-    half of whose triples are in `tests` are left out."""
+    """(doc_id, tag, word, n, at, cut): the distinct hashed words of each document with their counts, for each of its words
+    in order the place among them, and where its sentences end; sentences half of whose triples are in `tests` are left out."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -162,13 +161,22 @@ def cleaned(docs: DataFrame, tests: Triples | None) -> DataFrame:
                 t = tokens(texts[lo:hi])
                 if tests is not None:
                     t = t.where(~_taken(t.sentence, tests.hits(t))[t.sentence])
-                cut, of = _ends(t.sentence, t.text, hi - lo)
                 some = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _lists(t.word.view(np.int32), t.text, hi - lo), _lists(cut, of, hi - lo)], names=["doc_id", "tag", "word", "cut"])
+                yield _packed(some.column(0), some.column(1), t)
 
     return docs.mapInArrow(run, _CLEAN)
 
 
+def _packed(doc_id: pa.Array, tag: pa.Array, t: Tokens) -> pa.RecordBatch:
+    docs = len(doc_id)
+    pair, at, n = np.unique(t.text.astype(np.uint64) << np.uint64(32) | t.word, return_inverse=True, return_counts=True)
+    row = (pair >> np.uint64(32)).astype(np.int64)
+    begin = np.r_[0, np.cumsum(np.bincount(row, minlength=docs))]
+    cut, of = _ends(t.sentence, t.text, docs)
+    lists = [_lists((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), row, docs), _lists(n, row, docs), _lists(at - begin[t.text], t.text, docs), _lists(cut, of, docs)]
+    return pa.RecordBatch.from_arrays([doc_id, tag, *lists], names=["doc_id", "tag", "word", "n", "at", "cut"])
+
+
 def _taken(sentence: np.ndarray, hits: np.ndarray) -> np.ndarray:
     """Whether at least half of each sentence's triples were hit."""
     size = np.bincount(sentence, minlength=len(hits))
@@ -177,11 +185,12 @@ def _taken(sentence: np.ndarray, hits: np.ndarray) -> np.ndarray:
 
 def _again(b: pa.RecordBatch) -> Tokens:
     """The words of a batch of `cleaned`, sentences numbered again."""
-    text, word = _flat(b.column("word"))
+    row, word = _flat(b.column("word"))
+    text, at = _flat(b.column("at"))
     of, cut = _flat(b.column("cut"))
-    begin = np.r_[0, np.cumsum(np.bincount(text, minlength=b.num_rows))]
+    held, begin = (np.r_[0, np.cumsum(np.bincount(x, minlength=b.num_rows))] for x in (row, text))
     sentence = np.repeat(np.arange(len(cut)), np.diff(np.r_[0, cut + begin[of]]))
-    return Tokens(word.astype(np.int32).view(np.uint32), text, sentence)
+    return Tokens(word.astype(np.int32).view(np.uint32)[at + held[text]], text, sentence)
 
 
 def test_triples(items: DataFrame | None, scratch: Scratch) -> DataFrame | None:
@@ -225,8 +234,7 @@ def without_tests(docs: DataFrame, codes: DataFrame | None, scratch: Scratch, mo
         for b in parts:
             t = _again(b)
             t = t.where(~_taken(t.sentence, _flat(b.column("hit"))[1])[t.sentence])
-            cut, of = _ends(t.sentence, t.text, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), _lists(t.word.view(np.int32), t.text, b.num_rows), _lists(cut, of, b.num_rows)], names=["doc_id", "tag", "word", "cut"])
+            yield _packed(b.column("doc_id"), b.column("tag"), t)
 
     return scratch.cut(now.mapInArrow(drop, _CLEAN))
 
@@ -240,9 +248,8 @@ def count_words(clean: DataFrame) -> DataFrame:
             code = tag.indices.to_numpy(zero_copy_only=False).astype(np.uint64)
             text, word = _flat(b.column("word"))
             word = word.astype(np.int32).view(np.uint32)
-            words = (word & 1) == 1
-            held = np.unique(text[words].astype(np.uint64) << np.uint64(32) | word[words])
-            pairs = (code[held >> np.uint64(32)] << np.uint64(32)) | (held & np.uint64(0xFFFFFFFF))
+            real = (word & 1) == 1
+            pairs = (code[text[real]] << np.uint64(32)) | word[real]
             pair, n = np.unique(np.r_[pairs, code << np.uint64(32)], return_counts=True)
             names = tag.dictionary.take(pa.array((pair >> np.uint64(32)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([names, pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int64))], names=["tag", "word", "n"])
@@ -253,116 +260,140 @@ def count_words(clean: DataFrame) -> DataFrame:
 @dataclass
 class Languages:
     """The languages of a corpus: words by which they are told, sorted hashes, and for each word and language how much
-    it speaks for the language; the last row stands for other words. own: the words of each with a column."""
+    it speaks for the language. own: for each the sorted hashes of words with a column, and their columns, common ones first."""
 
     words: np.ndarray
     speaks: np.ndarray
     prior: np.ndarray
-    own: list[np.ndarray]
+    own: list[tuple[np.ndarray, np.ndarray]]
+    common: list[int]
 
     def of(self, text: np.ndarray, word: np.ndarray, texts: int) -> np.ndarray:
         """The language of each text from its distinct words."""
-        score = np.tile(self.prior, (texts, 1))
-        at = np.minimum(np.searchsorted(self.words, word), max(len(self.words) - 1, 0))
-        known = self.words[at] == word if len(self.words) else np.zeros(len(word), bool)
-        for i in range(score.shape[1]):
-            score[:, i] += np.bincount(text[known], weights=self.speaks[at[known], i], minlength=texts)
-        return score.argmax(1)
+        if len(self.prior) == 1:
+            return np.zeros(texts, np.int64)
+        at, known = _place(self.words, word)
+        score = [p + np.bincount(text[known], weights=self.speaks[at[known], i], minlength=texts) for i, p in enumerate(self.prior)]
+        return np.argmax(score, 0)
+
+    def columns(self, text: np.ndarray, word: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """The column of each word in the language of its text; -1 for numbers."""
+        out = np.full(len(word), -1, np.int64)
+        for k, (own, place) in enumerate(self.own):
+            mine = np.flatnonzero((lang[text] == k) & ((word & 1) == 1))
+            w = word[mine]
+            at, known = _place(own, w)
+            out[mine] = len(own) + ((w * np.uint32(0x9E3779B1)) >> np.uint32(15)).astype(np.int64) % BUCKETS
+            out[mine[known]] = place[at[known]]
+        return out
+
+    def widths(self) -> list[int]:
+        return [len(own) + BUCKETS for own, _ in self.own]
+
+
+def _place(ordered: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the ordered values, whether it is there)."""
+    if not len(ordered):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)
+    return at, ordered[at] == asked
+
+
+def _hashes(rows: list) -> np.ndarray:
+    return np.array([r["word"] for r in rows], np.int32).view(np.uint32)
 
 
 def languages(counted: DataFrame) -> Languages:
-    """From the words counted per tag. What reaches the driver: tags that a thousandth of the documents bear, and for each
-    the words that a hundredth of its documents hold, so at most 1,000 tags and a hundred times the mean number of a
-    document's words for each."""
+    """From the words counted per tag. What reaches the driver: tags that a thousandth of the documents bear; for each the
+    words that a hundredth of its documents hold, at most a hundred times the mean number of a document's words; for each
+    language the words with a column, at most five hundred times that number."""
+    spark = counted.sparkSession
     total = [(r["tag"], r["n"]) for r in counted.where("word = 0").orderBy(F.desc("n"), "tag").limit(int(1 / TAG_SHARE) + 1).collect()]
     every = sum(n for _, n in total)
     total = [(t, n) for t, n in total if n >= max(TAG_DOCS, TAG_SHARE * every)] or total[:1]
     if not total:
-        return Languages(np.array([], np.uint32), np.zeros((0, 1)), np.zeros(1), [np.array([], np.uint32)])
-    spark = counted.sparkSession
-    least = spark.createDataFrame([(t, float(max(LEAST_DOCS, OWN_COLUMN * n))) for t, n in total], "tag string, least double")
-    rows = counted.where("word <> 0").join(F.broadcast(least), "tag").where("n >= least").select("tag", "word", "n").collect()
-    words = np.unique(np.array([r["word"] for r in rows], np.int32).view(np.uint32))
-    place = {t: i for i, (t, _) in enumerate(total)}
+        return Languages(np.array([], np.uint32), np.zeros((0, 1)), np.zeros(1), [(np.array([], np.uint32), np.array([], np.int64))], [0])
+    least = spark.createDataFrame([(t, i, float(max(LEAST_DOCS, COMMON * n))) for i, (t, n) in enumerate(total)], "tag string, i int, least double")
+    rows = counted.where("word <> 0").join(F.broadcast(least), "tag").where("n >= least").select("i", "word", "n").collect()
+    words = np.unique(_hashes(rows))
     n = np.zeros((len(words), len(total)))
-    for r in rows:
-        n[np.searchsorted(words, np.uint32(r["word"] & 0xFFFFFFFF)), place[r["tag"]]] = r["n"]
+    n[np.searchsorted(words, _hashes(rows)), [r["i"] for r in rows]] = [r["n"] for r in rows]
     # tags with like words are one language; the larger tag leads
     root = np.sqrt(n / np.maximum(n.sum(0), 1))
     lead: list[int] = []
+    of = []
     for i in range(len(total)):
-        to = next((j for j in lead if root[:, i] @ root[:, j] >= ALIKE), None)
+        to = next((k for k, j in enumerate(lead) if root[:, i] @ root[:, j] >= ALIKE), None)
         if to is None:
+            to = len(lead)
             lead.append(i)
         else:
-            n[:, to] += n[:, i]
-    docs = np.array([total[i][1] for i in lead], float)
+            n[:, lead[to]] += n[:, i]
+        of.append(to)
+    docs = np.bincount(of, weights=[x for _, x in total])
     n = n[:, lead]
     share = (n + 0.5 * n.sum(1, keepdims=True) / max(n.sum(), 1)) / np.maximum(n.sum(0) + 0.5, 1)
-    return Languages(words, np.log(share + 1e-12), np.log(docs / docs.sum()), [words[n[:, k] >= max(LEAST_DOCS, OWN_COLUMN * d)] for k, d in enumerate(docs)])
-
-
-_BAGS = "doc_id long, lang int, word array<int>, cut array<int>, col array<int>, n array<int>"
+    member = spark.createDataFrame([(t, k, float(max(LEAST_DOCS, OWN_COLUMN * docs[k]))) for (t, _), k in zip(total, of)], "tag string, k int, least double")
+    held = counted.where("word <> 0").join(F.broadcast(member), "tag").groupBy("k", "word").agg(F.sum("n").alias("n"), F.first("least").alias("least"))
+    by: list[list] = [[] for _ in lead]
+    for r in held.where("n >= least").collect():
+        by[r["k"]].append(r)
+    own, common = [], []
+    for k, some in enumerate(by):
+        some.sort(key=lambda r: r["word"] & 0xFFFFFFFF)
+        wide = np.array([r["n"] >= COMMON * docs[k] for r in some], bool)
+        place = np.where(wide, np.cumsum(wide) - 1, wide.sum() + np.cumsum(~wide) - 1)
+        own.append((_hashes(some), place))
+        common.append(int(wide.sum()))
+    return Languages(words, np.log(share + 1e-12), np.log(docs / docs.sum()), own, common)
+
+
+def _columns(b: pa.RecordBatch, langs: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language of each document, document and column of each of its distinct words) of a batch of `cleaned`."""
+    text, word = _flat(b.column("word"))
+    word = word.astype(np.int32).view(np.uint32)
+    lang = langs.of(text, word, b.num_rows)
+    return lang, text, langs.columns(text, word, lang)
 
 
 def bags(clean: DataFrame, langs: Languages) -> DataFrame:
-    """(doc_id, lang, word, cut, col, n): the column of each word of a document in order, -1 for numbers, where its
-    sentences end, and its distinct columns with their counts."""
+    """(doc_id, lang, col, n): the columns of each document's words and their counts; numbers are left out."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            text, word = _flat(b.column("word"))
-            word = word.astype(np.int32).view(np.uint32)
-            real = (word & 1) == 1
-            held = np.unique(text[real].astype(np.uint64) << np.uint64(32) | word[real])
-            lang = langs.of((held >> np.uint64(32)).astype(np.int64), (held & np.uint64(0xFFFFFFFF)).astype(np.uint32), b.num_rows)
-            col = np.full(len(word), -1, np.int64)
-            for k, own in enumerate(langs.own):
-                mine = real & (lang[text] == k)
-                w = word[mine]
-                at = np.minimum(np.searchsorted(own, w), max(len(own) - 1, 0))
-                rare = len(own) + ((w >> np.uint32(1)) * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int64) % BUCKETS
-                col[mine] = np.where(own[at] == w, at, rare) if len(own) else rare
-            pair, n = np.unique(text[col >= 0] << 32 | col[col >= 0], return_counts=True)
-            lists = [_lists(col, text, b.num_rows), b.column("cut"), _lists(pair & 0xFFFFFFFF, pair >> 32, b.num_rows), _lists(n, pair >> 32, b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang.astype(np.int32)), *lists], names=["doc_id", "lang", "word", "cut", "col", "n"])
-
-    return clean.mapInArrow(run, _BAGS)
+            lang, text, col = _columns(b, langs)
+            n = b.column("n").flatten().to_numpy(zero_copy_only=False)
+            real = col >= 0
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang.astype(np.int32)), _lists(col[real], text[real], b.num_rows), _lists(n[real], text[real], b.num_rows)], names=["doc_id", "lang", "col", "n"])
+
+    return clean.select("doc_id", "word", "n").mapInArrow(run, "doc_id long, lang int, col array<int>, n array<int>")
+
+
+_ROWS = "lang int, topic int, row binary"
 
 
 def _rows(sums: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of some matrices, one per language, that hold anything: (lang, topic, row)."""
-    held = [(k, i, m[i]) for k, m in enumerate(sums) for i in np.flatnonzero(m.any(1))]
-    lists = pa.array([r for _, _, r in held], pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in held], pa.int32()), pa.array([i for _, i, _ in held], pa.int32()), lists], names=["lang", "topic", "row"])
+    held = [(k, i, m[i].astype(np.float64).tobytes()) for k, m in enumerate(sums) for i in np.flatnonzero(m.any(1))]
+    return pa.RecordBatch.from_arrays([pa.array([x[j] for x in held], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["lang", "topic", "row"])
 
 
-_ROWS = "lang int, topic int, row array<double>"
+def _summed(parts: DataFrame, shapes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Rows of (lang, topic, row) added up per language and topic: one task per row of a matrix, which holds its sum only."""
 
+    def add(key: tuple, some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | float = 0.0
+        for b in some:
+            for row in b.column("row"):
+                total = total + np.frombuffer(row.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["lang", "topic", "row"])
 
-def _summed(parts: DataFrame, shapes: list[tuple[int, int]]) -> list[np.ndarray]:
-    """Rows of (lang, topic, row) added up per language and topic by a tree of tasks; a bounded matrix per language."""
-    sums = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    for keys in (["lang", "topic", "salt"], ["lang", "topic"]):
-        shape = "lang int, topic int" + ", salt int" * (len(keys) == 3) + ", row array<double>"
-        sums = sums.groupBy(*keys).applyInPandas(_adder(keys), shape)
     out = [np.zeros(s) for s in shapes]
-    for r in sums.toArrow().to_batches():
-        for k, i, row in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2)):
-            out[k][i] += row.values.to_numpy()
+    for r in parts.groupBy("lang", "topic").applyInArrow(add, _ROWS).collect():
+        out[r["lang"]][r["topic"]] = np.frombuffer(r["row"])
     return out
 
 
-def _adder(keys: list[str]):
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["row"].iloc[0]))
-        for row in pdf["row"]:
-            total += row
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"row": [total]})
-
-    return add
-
-
 def examples(bagged: DataFrame, known: DataFrame, widths: list[int], subjects: int) -> list[np.ndarray]:
     """Per language, (subject, and last all documents) x (1 + columns): documents, and those of them that hold each column."""
 
@@ -374,30 +405,32 @@ def examples(bagged: DataFrame, known: DataFrame, widths: list[int], subjects: i
             who, own = _flat(b.column("own"))
             for k, t in enumerate(total):
                 mine = lang == k
-                for i in range(subjects + 1):
-                    some = mine if i == subjects else mine & np.isin(np.arange(len(lang)), who[own == i])
-                    if some.any():
-                        t[i, 0] += some.sum()
-                        t[i, 1:] += np.bincount(col[some[text]], minlength=t.shape[1] - 1)
+                t[subjects, 0] += mine.sum()
+                t[subjects, 1:] += np.bincount(col[mine[text]], minlength=t.shape[1] - 1)
+                for i in np.unique(own[mine[who]]):
+                    some = np.zeros(len(lang), bool)
+                    some[who[own == i]] = True
+                    some &= mine
+                    t[i, 0] += some.sum()
+                    t[i, 1:] += np.bincount(col[some[text]], minlength=t.shape[1] - 1)
         yield _rows(total)
 
     joined = bagged.select("doc_id", "lang", "col").join(known, "doc_id", "left").select("lang", "col", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
     return _summed(joined.mapInArrow(run, _ROWS), [(subjects + 1, w + 1) for w in widths])
 
 
-def _blocks(b: pa.RecordBatch, models: list[Model]) -> Iterator[tuple[int, np.ndarray, Block]]:
-    """(language, rows, counts) of the documents of a batch, at most _DOCS at a time."""
-    lang = b.column("lang").to_numpy(zero_copy_only=False)
-    text, col = _flat(b.column("col"))
-    n = b.column("n").flatten().to_numpy(zero_copy_only=False)
+def _blocks(lang: np.ndarray, text: np.ndarray, col: np.ndarray, n: np.ndarray, models: list[Model]) -> Iterator[tuple[int, np.ndarray, Block]]:
+    """(language, documents, counts) of the documents of a batch, at most _DOCS at a time; col may hold -1."""
     for k, m in enumerate(models):
-        rows = np.flatnonzero(lang == k)
-        for lo in range(0, len(rows), _DOCS):
-            some = rows[lo : lo + _DOCS]
+        docs = np.flatnonzero(lang == k)
+        for lo in range(0, len(docs), _DOCS):
+            some = docs[lo : lo + _DOCS]
             place = np.full(len(lang), -1)
             place[some] = np.arange(len(some))
-            mine = place[text] >= 0
-            yield k, some, Block(place[text[mine]], col[mine], n[mine], len(some), len(m.own), m.used)
+            first, last = np.searchsorted(text, [some[0], some[-1] + 1])
+            row, c = place[text[first:last]], col[first:last]
+            mine = np.flatnonzero((row >= 0) & (c >= 0))
+            yield k, some, Block(row[mine], c[mine], n[first:last][mine], len(some), m.common, m.used)
 
 
 def fit(bagged: DataFrame, models: list[Model], rounds: int = ROUNDS, still: float = STILL) -> list[Model]:
@@ -412,7 +445,9 @@ def fit(bagged: DataFrame, models: list[Model], rounds: int = ROUNDS, still: flo
             held = [m for m, _ in shared.value]
             total = [np.zeros(w.shape) for _, w in shared.value]
             for b in parts:
-                for k, _, block in _blocks(b, held):
+                text, col = _flat(b.column("col"))
+                n = b.column("n").flatten().to_numpy(zero_copy_only=False)
+                for k, _, block in _blocks(b.column("lang").to_numpy(zero_copy_only=False), text, col, n, held):
                     w = shared.value[k][1]
                     total[k] += block.expected(block.infer(w), w)
             yield _rows(total)
@@ -448,7 +483,7 @@ def judged(model: Model, speak: np.ndarray, subjects: int) -> np.ndarray:
     return owner
 
 
-def start(own: np.ndarray, seen: np.ndarray, seed: int = 3) -> tuple[Model, np.ndarray]:
+def start(common: int, seen: np.ndarray, seed: int = 3) -> tuple[Model, np.ndarray]:
     """First topics of a language from its word counts and labelled examples, and how much each column speaks for each
     subject: it speaks for the subjects in whose examples it is over-represented; columns that few examples hold are
     drawn towards their share of all documents and speak for nobody."""
@@ -464,12 +499,12 @@ def start(own: np.ndarray, seen: np.ndarray, seed: int = 3) -> tuple[Model, np.n
     for i in np.flatnonzero(base):
         lam[i] *= 0.05 + 4 * speak[:, i] ** 2
     used = (df > 0) & ((df <= FLAT * docs) | (speak.max(1) >= 0.5))
-    return Model(own, lam + ETA, np.full(subjects + FREE, -1), used), speak
+    return Model(common, lam + ETA, np.full(subjects + FREE, -1), used), speak
 
 
-def assign(bagged: DataFrame, models: list[Model], subjects: int) -> DataFrame:
+def assign(clean: DataFrame, langs: Languages, models: list[Model], subjects: int) -> DataFrame:
     """(doc_id, subject number, share): the share of a document's sentences that treat of each subject, if any does."""
-    shared = bagged.sparkSession.sparkContext.broadcast([(m, m.weights()) for m in models])
+    shared = clean.sparkSession.sparkContext.broadcast([(m, m.weights()) for m in models])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [m for m, _ in shared.value]
@@ -478,38 +513,36 @@ def assign(bagged: DataFrame, models: list[Model], subjects: int) -> DataFrame:
             of.append(np.zeros((len(m.owner), subjects), np.float32))
             of[-1][np.flatnonzero(m.owner >= 0), m.owner[m.owner >= 0]] = 1
         for b in parts:
-            text, word = _flat(b.column("word"))
-            who, cut = _flat(b.column("cut"))
-            begin = np.r_[0, np.cumsum(np.bincount(text, minlength=b.num_rows))]
-            share = np.zeros((b.num_rows, subjects))
-            for k, rows, block in _blocks(b, held):
+            lang, text, col = _columns(b, langs)
+            n = b.column("n").flatten().to_numpy(zero_copy_only=False)
+            mass = np.zeros((len(col), subjects), np.float32)  # what the topics of a document say of each of its words
+            counts = np.zeros(len(col), bool)
+            for k, docs, block in _blocks(lang, text, col, n, held):
                 m, w = shared.value[k]
                 theta = block.infer(w)
-                # what the topics of a document say of each of its columns
                 place = np.full(b.num_rows, -1)
-                place[rows] = np.arange(len(rows))
-                here = np.flatnonzero(place[text] >= 0)
-                col = word[here]
-                real = (col >= 0) & m.used[np.maximum(col, 0)]
-                p = theta[place[text[here[real]]]] * w[:, col[real]].T
-                p = (p @ of[k]) / p.sum(1, keepdims=True)
-                mass = np.zeros((len(here), subjects), np.float32)
-                mass[real] = p
-                total = np.vstack([np.zeros((1, subjects)), np.cumsum(mass, 0, dtype=np.float64)])
-                n = np.r_[0, np.cumsum(real)]
-                mine = np.flatnonzero(place[who] >= 0)
-                if not len(mine):
-                    continue
-                end = np.searchsorted(here, cut[mine] + begin[who[mine]])
-                first = np.r_[0, end[:-1]]
-                part, size = total[end] - total[first], (n[end] - n[first])[:, None]
+                place[docs] = np.arange(len(docs))
+                first, last = np.searchsorted(text, [docs[0], docs[-1] + 1])
+                some = first + np.flatnonzero((place[text[first:last]] >= 0) & (col[first:last] >= 0))
+                some = some[m.used[col[some]]]
+                p = theta[place[text[some]]] * w[:, col[some]].T
+                mass[some] = (p @ of[k]) / p.sum(1, keepdims=True)
+                counts[some] = True
+            own, at = _flat(b.column("at"))
+            who, cut = _flat(b.column("cut"))
+            held_by, begin = (np.r_[0, np.cumsum(np.bincount(x, minlength=b.num_rows))] for x in (text, own))
+            word = at + held_by[own]
+            share = np.zeros((b.num_rows, subjects))
+            if len(cut):
+                first = np.r_[0, (cut + begin[who])[:-1]]  # each sentence begins where the one before ends, also across documents
+                part, size = np.add.reduceat(mass[word], first), np.add.reduceat(counts[word].astype(np.int32), first)[:, None]
                 hit = (part >= WEIGHT * size - 1e-6) & (part >= WEIGHT - 1e-6)
-                np.add.at(share, who[mine], hit)
+                np.add.at(share, who, hit)
             share /= np.maximum(np.bincount(who, minlength=b.num_rows), 1)[:, None]
             r, c = np.nonzero(share)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(r)), pa.array(c.astype(np.int32)), pa.array(share[r, c])], names=["doc_id", "subject", "share"])
 
-    return bagged.mapInArrow(run, "doc_id long, subject int, share double")
+    return clean.drop("tag").mapInArrow(run, "doc_id long, subject int, share double")
 
 
 def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[str], scratch: Scratch, items: DataFrame | None = None, most: int = TEST_TRIPLES) -> DataFrame:
@@ -528,10 +561,10 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[str], scratch
     clean = without_tests(tagged(docs), test_triples(items, scratch), scratch, most)
     langs = languages(scratch.cut(count_words(clean)))
     bagged = scratch.cut(bags(clean, langs))
-    seen = examples(bagged, known, [len(own) + BUCKETS for own in langs.own], len(areas))
-    begun = [start(own, s) for own, s in zip(langs.own, seen)]
+    seen = examples(bagged, known, langs.widths(), len(areas))
+    begun = [start(c, s) for c, s in zip(langs.common, seen)]
     models = fit(bagged, [m for m, _ in begun])
     for m, (_, speak) in zip(models, begun):
         m.owner = judged(m, speak, len(areas))
     names = F.element_at(F.array(*[F.lit(a) for a in areas]), F.col("subject") + 1)
-    return assign(bagged, models, len(areas)).select("doc_id", names.alias("subject"), "share")
+    return assign(clean, langs, models, len(areas)).select("doc_id", names.alias("subject"), "share")
