@@ -43,11 +43,12 @@ class Scratch:
             atexit.register(_sweep)
         _ROOTS.append((spark, self.root))
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write df, return it read back; one pass over its plan."""
+    def cut(self, df: DataFrame, folders: list[str] | None = None) -> DataFrame:
+        """Write df, return it read back; one pass over its plan. folders: columns by whose values the files are parted,
+        so that a filter on them reads no others."""
         path = f"{self.root}/{self._made}"
         self._made += 1
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").partitionBy(*folders or []).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
