@@ -58,7 +58,64 @@ def test_hot_shard_is_divided(spark, scratch, monkeypatch):
     x = cloud(2000, seed=4, topics=1)
     true, _ = exact(x, 5)
     got = v.similar(v.usable(frame(spark, x), "cid", "vector", 16), 5, 16, scratch).toPandas().groupby("a").b.apply(set)
-    assert np.mean([len(got.get(i, set()) & set(t)) / 5 for i, t in enumerate(true)]) >= 0.85
+    assert np.mean([len(got.get(i, set()) & set(t)) / 5 for i, t in enumerate(true)]) >= 0.9
+
+
+def test_tree_of_cells_and_parts(spark, scratch, monkeypatch):
+    """Cells divided more than once, shards asked by more than one task answers."""
+    monkeypatch.setattr(v, "SHARD", 200)
+    monkeypatch.setattr(v, "MOST", 300)
+    monkeypatch.setattr(v, "FAN", 4)
+    monkeypatch.setattr(v, "ASKED", 100)
+    x = cloud(3000, seed=6)
+    u = v.usable(frame(spark, x), "cid", "vector", 16).persist()
+    tree, sizes = v.grown_tree(u, 3000, 4, 0.2, 16)
+    assert any(c.cells for c in tree.cells) and max(n for n, _ in sizes.values()) <= 300 and sum(n for n, _ in sizes.values()) == 3000
+    assert max(asked for _, asked in sizes.values()) > 200
+    true, _ = exact(x, 5)
+    found = v.similar(u, 5, 16, scratch).toPandas()
+    got = found.groupby("a").b.apply(set)
+    assert np.mean([len(got.get(i, set()) & set(t)) / 5 for i, t in enumerate(true)]) >= 0.9
+    assert not found.duplicated(["a", "b"]).any()
+
+
+def test_very_many_copies(spark, scratch, monkeypatch):
+    monkeypatch.setattr(v, "SHARD", 200)
+    monkeypatch.setattr(v, "MOST", 300)
+    x = cloud(900, seed=8)
+    x[100:600] = x[100]  # more than a shard holds
+    x[700] = x[701] = x[3]
+    names = list(range(len(x)))
+    names[899] = 150  # a name with a second vector
+    found = v.similar(v.usable(frame(spark, x, names), "cid", "vector", 16), 5, 16, scratch).toPandas()
+    got = found.groupby("a").b.apply(list)
+    assert got[100] == [101, 102, 103, 104, 105] and got[103] == [100, 101, 102, 104, 105] and got[400] == [100, 101, 102, 103, 104]
+    assert set(got[3][:2]) == {700, 701} and got[700][:2] == [3, 701]
+    assert got[150] == [100, 101, 102, 103, 104] and set(got.index) == set(names)
+    _, s = exact(x, 5)
+    alone = [i for i in range(900) if not 100 <= i < 600 and i not in (899, 3, 700, 701)]
+    hits = [np.mean([s[i, b] >= np.sort(s[i])[-5] - 1e-6 for b in got[i]]) for i in alone]
+    assert np.mean(hits) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_neighbours_of_the_tables(spark, sf):
+    """Recall of p4_neighbours against brute force, for all ids divisible by 50; p4_found has nearly all pairs."""
+    at = f"/root/testdata/sf{sf}"
+    rows = v.usable(spark.read.parquet(f"{at}/embedding_record.parquet"), "concept_id", "vector", 64).toPandas().drop_duplicates("name")
+    names, x = rows.name.to_numpy(), v.unit(np.array(rows.vec.tolist(), np.float32))
+    got = queries.p4_neighbours(spark, at).where("concept_id % 50 = 0").toPandas().groupby("concept_id").neighbour_id.apply(set)
+    hits, pairs = [], set()
+    for i in np.flatnonzero(names % 50 == 0):
+        s = x @ x[i]
+        s[i] = -2
+        best = np.argsort(-s)[:5]
+        hits.append(len(got.get(names[i], set()) & set(names[best].tolist())) / 5)
+        pairs |= {(min(names[i], names[j]), max(names[i], names[j])) for j in best if s[j] >= 0.9001}
+    assert np.mean(hits) >= 0.9
+    if sf == "0.1":
+        found = set(map(tuple, queries.p4_found(spark, at).toPandas().to_numpy().tolist()))
+        assert len(found & pairs) >= 0.98 * len(pairs) > 0
 
 
 def test_near_copies(spark, scratch):

@@ -1,15 +1,18 @@
 """Problem 4: the most similar vectors of every vector, by a robust-pruned directed graph per shard.
 
-Vectors go to the shard of their nearest centroid (spherical k-means on a bounded sample). Each shard builds one
-directed graph: vectors are inserted in growing batches, a greedy beam search over the graph so far proposes
-neighbours, and relaxed distance pruning keeps those that are not better reached through a kept one. Then beam search
-answers the queries of the shard: its own vectors, and those of other shards for whom it is among the next nearest.
-Shards have a bounded size: a larger one is divided by hash and all its parts are searched.
+Vectors go to the shard of their nearest centroid. Centroids form a tree: a cell with too many vectors is divided by
+spherical k-means on a bounded sample of its own, again and again, so that dense topics get shards of the same size as
+thin ones. Each shard builds one directed graph: vectors are inserted in growing batches, a greedy beam search over the
+graph so far proposes neighbours, and relaxed distance pruning keeps those that are not better reached through a kept
+one. Then beam search answers the queries of the shard: its own vectors, and those of other shards for whom it is among
+the next nearest; a shard that very many ask is answered by several tasks with a part of the queries each.
+Only copies cannot be divided: where a cell stays too large, equal vectors are made one and their names added at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from thesaurion.runtime import Scratch
+from thesaurion.runtime import Scratch, keyed_join
 
-SAMPLE = 20_000  #: vectors, about, on which the centroids are fitted, chosen by a hash of their name
+SAMPLE = 20_000  #: vectors of a cell, about, on which its centroids are fitted, chosen by a hash of their name
 SHARD = 3_000  #: vectors per shard aimed at
 MOST = 2 * SHARD  #: a shard beyond this is divided
+FAN = 256  #: cells that a cell is divided into at most
+LEAVES = 1 << 18  #: shards at most, hence centroids that a task holds; with more vectors shards are larger
+ASKED = 8 * SHARD  #: queries from other shards that one task answers
 DEGREE = 20  #: links kept of a vector by pruning
 SLACK = 12  #: links more that may be added from the other side before it is pruned again
 BEAM = 32  #: length of the beam while building
@@ -53,6 +59,46 @@ def centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.
     return c
 
 
+@dataclass
+class Cell:
+    """A node of the tree of centroids; a leaf is a shard and has a number."""
+
+    shard: int = -1
+    centroids: np.ndarray | None = None
+    cells: list[Cell] = field(default_factory=list)
+
+    def leaves(self) -> list[Cell]:
+        return [x for c in self.cells for x in c.leaves()] if self.cells else [self]
+
+    def route(self, q: np.ndarray, probes: int, gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, rank) of the shards each row of q asks: the `probes` nearest by their centroids, those at most `gap`
+        less similar than the nearest; rank 0 is the nearest. Of the inner cells twice as many are entered."""
+        row, shard, sim = self._nearest(q, np.arange(len(q)), np.ones(len(q), np.float32), 2 * probes)
+        order = np.lexsort((shard, -sim, row))
+        row, shard, sim = row[order], shard[order], sim[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.array([], int)
+        size = np.diff(np.r_[first, len(row)])
+        rank = np.arange(len(row)) - np.repeat(first, size)
+        keep = (rank == 0) | ((rank < probes) & (sim >= np.repeat(sim[first], size) - gap))
+        return row[keep], shard[keep], rank[keep]
+
+    def _nearest(self, q: np.ndarray, rows: np.ndarray, sim: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.cells:
+            return rows, np.full(len(rows), self.shard), sim
+        s = q[rows] @ self.centroids.T
+        few = min(most, s.shape[1])
+        best = np.argpartition(-s, few - 1, 1)[:, :few]
+        top = np.take_along_axis(s, best, 1)
+        if not any(c.cells for c in self.cells):
+            return np.repeat(rows, few), np.array([c.shard for c in self.cells])[best].ravel(), top.ravel()
+        parts = []
+        for j, c in enumerate(self.cells):
+            r, at = np.nonzero(best == j)
+            if len(r):
+                parts.append(c._nearest(q, rows[r], top[r, at], most))
+        return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+
+
 class Graph:
     """A robust-pruned directed graph over unit vectors."""
 
@@ -205,8 +251,8 @@ class Graph:
                 self._connect(some, np.take_along_axis(cand, by, 1), np.take_along_axis(sims, by, 1))
 
 
-def shard_neighbours(names: np.ndarray, x: np.ndarray, home: np.ndarray, k: int, floor: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, similarity) for all rows against the home rows of one shard; similarities in double precision."""
+def shard_neighbours(names: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray, k: int, floor: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, neighbour, similarity) for the rows that ask against the home rows of one shard; similarities in double precision."""
     empty = (np.array([], names.dtype),) * 2 + (np.array([], np.float64),)
     own = np.flatnonzero(home)
     if not len(own):
@@ -217,7 +263,7 @@ def shard_neighbours(names: np.ndarray, x: np.ndarray, home: np.ndarray, k: int,
     place = np.full(len(x), -1)
     place[own] = np.arange(len(own))
     q = unit(x)
-    for some in (own, np.flatnonzero(~home)):
+    for some in (own[asks[own]], np.flatnonzero(~home)):
         for lo in range(0, len(some), _BATCH):
             part = some[lo : lo + _BATCH]
             ids, _ = graph.search(q[part], beam, place[part] if home[part[0]] else None)
@@ -225,6 +271,8 @@ def shard_neighbours(names: np.ndarray, x: np.ndarray, home: np.ndarray, k: int,
             a, b = part[r], own[ids[r, c]]
             real = names[a] != names[b]
             out.append((a[real], b[real]))
+    if not out:
+        return empty
     a, b = np.concatenate([p for p, _ in out]), np.concatenate([p for _, p in out])
     near = np.einsum("kd,kd->k", q[a], q[b]) >= floor - 1e-4
     a, b = a[near], b[near]
@@ -232,13 +280,17 @@ def shard_neighbours(names: np.ndarray, x: np.ndarray, home: np.ndarray, k: int,
     s = np.einsum("kd,kd->k", u, v) / (np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1))
     good = s >= floor
     a, b, s = a[good], b[good], s[good]
-    order = np.lexsort((names[b], -s, a))
-    a, b, s = a[order], b[order], s[order]
-    starts = np.r_[True, a[1:] != a[:-1]] if len(a) else np.array([], bool)
-    rank = np.arange(len(a)) - np.maximum.accumulate(np.where(starts, np.arange(len(a)), 0))
-    # a concept may have several vectors: leave room for repeats of a neighbour
-    keep = rank < 3 * k
-    return names[a[keep]], names[b[keep]], s[keep]
+    # a name may have several vectors: of each pair of names the best, then the k best neighbours of each name
+    one, two = names[a], names[b]
+    order = np.lexsort((-s, two, one))
+    one, two, s = one[order], two[order], s[order]
+    best = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])] if len(one) else np.array([], bool)
+    one, two, s = one[best], two[best], s[best]
+    order = np.lexsort((two, -s, one))
+    one, two, s = one[order], two[order], s[order]
+    starts = np.r_[True, one[1:] != one[:-1]] if len(one) else np.array([], bool)
+    rank = np.arange(len(one)) - np.maximum.accumulate(np.where(starts, np.arange(len(one)), 0))
+    return one[rank < k], two[rank < k], s[rank < k]
 
 
 def _matrix(vec: pa.Array, dim: int) -> np.ndarray:
@@ -269,66 +321,131 @@ def first_of(names: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(code.view(np.dtype((np.void, code.shape[1]))).ravel(), return_index=True)[1]) if len(code) else np.array([], int)
 
 
+def _fitted(vectors: DataFrame, tree: Cell, large: dict[int, int], shard: int, dim: int) -> dict[int, np.ndarray]:
+    """Centroids of each shard of `large` (with its number of vectors), fitted by one task on about SAMPLE of its vectors."""
+    rate = {k: -(-n // SAMPLE) for k, n in large.items()}
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                row, at, _ = tree.route(unit(_matrix(b.column(1), dim)), 1, 0)
+                keep = np.flatnonzero([x in rate and h % rate[x] == 0 for x, h in zip(at.tolist(), b.column(2).to_pylist())])
+                yield pa.RecordBatch.from_arrays([pa.array(at[keep].astype(np.int32)), b.column(1).take(pa.array(row[keep]))], names=["shard", "vec"])
+
+    def divide(key: tuple, t: pa.Table) -> pa.Table:
+        x = np.concatenate([_matrix(c, dim) for c in t.column("vec").chunks])
+        c = centroids(unit(x[np.lexsort(x.T)]), min(FAN, -(-large[key[0].as_py()] // shard)))
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(c), pa.int32()), "vec": pa.array(c.tolist(), pa.list_(pa.float32()))})
+
+    some = vectors.withColumn("h", F.xxhash64("name", "vec").bitwiseAND(F.lit((1 << 62) - 1))).mapInArrow(pick, "shard int, vec array<float>")
+    out: dict[int, list] = {}
+    for r in some.groupBy("shard").applyInArrow(divide, "shard int, vec array<float>").collect():
+        out.setdefault(r["shard"], []).append(r["vec"])
+    return {k: np.array(v, np.float32) for k, v in out.items()}
+
+
+def _counted(vectors: DataFrame, tree: Cell, probes: int, gap: float, dim: int) -> dict[int, tuple[int, int]]:
+    """(vectors, queries from other shards) of each shard."""
+    shards = len(tree.leaves())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, shards), np.int64)
+        for b in batches:
+            if b.num_rows:
+                _, at, rank = tree.route(unit(_matrix(b.column(1), dim)), probes, gap)
+                total += [np.bincount(at[rank == 0], minlength=shards), np.bincount(at[rank > 0], minlength=shards)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], names=["shard", "own", "asked"])
+
+    sums = vectors.mapInArrow(run, "shard int, own long, asked long").groupBy("shard").agg(F.sum("own").alias("own"), F.sum("asked").alias("asked"))
+    return {r["shard"]: (r["own"], r["asked"]) for r in sums.collect()}
+
+
+def grown_tree(vectors: DataFrame, n: int, probes: int, gap: float, dim: int) -> tuple[Cell, dict[int, tuple[int, int]]]:
+    """The tree of centroids and each shard's counts. Shards hold about SHARD vectors, MOST at most but where dividing a
+    cell leaves nine tenths of it in one part, as copies do."""
+    tree = Cell(0)
+    shard, most = max(SHARD, -(-n // LEAVES)), max(MOST, -(-2 * n // LEAVES))
+    sizes, stuck = {0: (n, 0)}, set()
+    while True:
+        leaves = {x.shard: x for x in tree.leaves()}
+        large = {k: own for k, (own, _) in sizes.items() if own > most and id(leaves[k]) not in stuck}
+        if not large:
+            return tree, sizes
+        for k, c in _fitted(vectors, tree, large, shard, dim).items():
+            leaves[k].centroids, leaves[k].cells = c, [Cell() for _ in c]
+        for i, x in enumerate(tree.leaves()):
+            x.shard = i
+        sizes = _counted(vectors, tree, probes, gap, dim)
+        for k, own in large.items():
+            stuck |= {id(x) for x in leaves[k].leaves() if sizes[x.shard][0] > 0.9 * own}
+
+
 def similar(vectors: DataFrame, k: int, dim: int, scratch: Scratch, floor: float = -1.0, beam: int = 64, probes: int = PROBES, gap: float = GAP) -> DataFrame:
     """(a, b, sim, rnk): for each name a its k most similar other names b of cosine at least floor; ties by smaller b.
 
     vectors: name long, vec array<float> of dim components, as from `usable`; a name with several vectors has its best
     similarity. Approximate: what graph and shards leave out is measured in the tests; a high floor needs a shorter beam,
-    since near copies are met early. No vectors give no rows."""
-    spark = vectors.sparkSession
+    since near copies are met early. Copies in any number are no hot shard, see the module. No vectors give no rows."""
     vectors = scratch.cut(vectors)
     n = vectors.count()
-    pick = vectors.where(F.pmod(F.xxhash64("name"), F.lit(-(-n // SAMPLE))) == 0).select("vec").limit(2 * SAMPLE).collect() if n else []
-    if n and not pick:
-        pick = vectors.select("vec").limit(1).collect()
-    if not pick:
-        return spark.createDataFrame([], "a long, b long, sim double, rnk int")
-    cents = centroids(unit(np.array([r["vec"] for r in pick])), -(-n // SHARD))
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "a long, b long, sim double, rnk int")
+    tree, sizes = grown_tree(vectors, n, probes, gap, dim)
+    if any(own > max(MOST, 2 * n // LEAVES) for own, _ in sizes.values()):
+        found = _of_copies(vectors, k, dim, scratch, floor, beam, probes, gap)
+    else:
+        found = _searched(vectors, tree, sizes, k, dim, floor, beam, probes, gap)
+    best = found.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    w = W.partitionBy("a").orderBy(F.desc("sim"), "b")
+    return best.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
+
+
+def _searched(vectors: DataFrame, tree: Cell, sizes: dict[int, tuple[int, int]], k: int, dim: int, floor: float, beam: int, probes: int, gap: float) -> DataFrame:
+    parts = np.ones(len(sizes), np.int64)
+    for s, (_, asked) in sizes.items():
+        parts[s] = max(1, -(-asked // ASKED))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            s = unit(_matrix(b.column(1), dim)) @ cents.T
-            best = np.argsort(-s, 1)[:, :probes]
-            top = np.take_along_axis(s, best, 1)
-            ask = top >= top[:, :1] - gap
-            ask[:, 0] = True
-            row, col = np.nonzero(ask)
-            took = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(best[row, col].astype(np.int32)), pa.array(col == 0)], names=["name", "vec", "shard", "home"])
-
-    routed = vectors.mapInArrow(route, "name long, vec array<float>, shard int, home boolean")
-    sizes = vectors.mapInArrow(_home_counts(cents, dim), "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()
-    large = {r["shard"]: -(-r["n"] // SHARD) for r in sizes if r["n"] > MOST}
-    if large:
-        parts = F.create_map(*[F.lit(x) for kv in large.items() for x in kv])
-        m = F.coalesce(F.try_element_at(parts, F.col("shard")), F.lit(1))
-        own = F.pmod(F.xxhash64("name", "vec"), m.cast("long")).cast("int")
-        routed = routed.withColumn("m", m).withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        routed = routed.withColumn("home", F.col("home") & (F.col("own") == F.col("part"))).drop("m", "own")
-    else:
-        routed = routed.withColumn("part", F.lit(0))
+            row, shard, rank = tree.route(unit(_matrix(b.column(1), dim)), probes, gap)
+            part = np.arange(len(row)) % parts[shard]
+            # a shard's own vectors stand in each of its parts, and ask in the first
+            copies = np.where(rank == 0, parts[shard], 1)
+            at = np.repeat(np.arange(len(row)), copies)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+            own = rank[at] == 0
+            took = b.take(pa.array(row[at]))
+            columns = [took.column(0), took.column(1), pa.array(shard[at].astype(np.int32)), pa.array(np.where(own, nth, part[at]).astype(np.int32)), pa.array(own), pa.array(~own | (nth == 0))]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "vec", "shard", "part", "home", "asks"])
 
     def answer(t: pa.Table) -> pa.Table:
         x = np.concatenate([_matrix(c, dim) for c in t.column("vec").chunks])
-        names, home = t.column("name").to_numpy(), t.column("home").to_numpy()
+        names, home, asks = (t.column(c).to_numpy() for c in ("name", "home", "asks"))
         one = first_of(names, x)
-        a, b, s = shard_neighbours(names[one], x[one], home[one], k, floor, beam)
+        a, b, s = shard_neighbours(names[one], x[one], home[one], asks[one], k, floor, beam)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64())})
 
-    found = routed.groupBy("shard", "part").applyInArrow(answer, "a long, b long, sim double")
-    best = found.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    w = W.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return best.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
-
-
-def _home_counts(cents: np.ndarray, dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(cents), np.int64)
-        for b in batches:
-            if b.num_rows:
-                total += np.bincount((unit(_matrix(b.column(1), dim)) @ cents.T).argmax(1), minlength=len(cents))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cents), dtype=np.int32)), pa.array(total)], names=["shard", "n"])
-
-    return run
+    routed = vectors.mapInArrow(route, "name long, vec array<float>, shard int, part int, home boolean, asks boolean")
+    return routed.groupBy("shard", "part").applyInArrow(answer, "a long, b long, sim double")
+
+
+def _of_copies(vectors: DataFrame, k: int, dim: int, scratch: Scratch, floor: float, beam: int, probes: int, gap: float) -> DataFrame:
+    """(a, b, sim) where many vectors are equal: each distinct vector is searched once under its least name. Each name then
+    gets the neighbours of its vector, of which k + 1 names suffice, taken from its copies and its neighbours' copies."""
+    member = vectors.select(F.xxhash64("vec").alias("v"), "name").distinct()
+    rep = scratch.cut(vectors.groupBy("vec").agg(F.min("name").alias("name")))
+    tree, sizes = grown_tree(rep.select("name", "vec"), rep.count(), probes, gap, dim)
+    # a name may stand for several vectors, so vectors are named by their hash here
+    by_hash = rep.select(F.xxhash64("vec").alias("name"), "vec")
+    near = scratch.cut(_searched(by_hash, tree, sizes, k, dim, floor, beam, probes, gap))
+    least = member.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("name"))).where(F.col("r") <= k + 1)
+    least = scratch.cut(least.select(F.col("v").alias("b"), F.col("name").alias("to")))
+    own = least.select("b", F.col("b").alias("a"), F.lit(1.0).alias("sim"))
+    links = near.select("b", "a", "sim").unionByName(own.distinct().where(F.lit(1.0) >= floor))
+    offers = links.join(least, "b").groupBy("a", "to").agg(F.max("sim").alias("sim"))
+    w = W.partitionBy("a").orderBy(F.desc("sim"), "to")
+    offers = offers.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy(F.col("a").alias("v")).agg(F.collect_list(F.struct("to", "sim")).alias("offer"))
+    out = keyed_join(member, offers, ["v"]).select(F.col("name").alias("a"), F.explode("offer").alias("o"))
+    return out.select("a", F.col("o.to").alias("b"), F.col("o.sim").alias("sim")).where("a <> b")
