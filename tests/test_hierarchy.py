@@ -3,7 +3,7 @@ import random
 import pytest
 
 from thesaurion.operators import hierarchy
-from thesaurion.operators.hierarchy import hierarchies, loops_of, paths
+from thesaurion.operators.hierarchy import hierarchies, loops_of, paths, rank
 from thesaurion.plans.problems import named_links, node_pairs, node_paths
 
 LINKS, NODES = "hier string, parent string, child string", "hier string, node string"
@@ -94,7 +94,44 @@ def test_intervals_and_paths(spark, scratch):
     assert inside == {("r", x) for x in "abcde"} | {("a", "c"), ("a", "d"), ("c", "d"), ("b", "e")}
     assert {x: r["size"] for x, r in t.items()} == {"r": 6, "a": 3, "b": 2, "c": 2, "d": 1, "e": 1}
     name = {r["nid"]: x for x, r in t.items()}
-    assert {name[r["nid"]]: [name[i] for i in r["path"]] for r in paths(tree, scratch).collect()}["d"] == ["r", "a", "c", "d"]
+    for span in (None, 3, 1):
+        assert {name[r["nid"]]: r["path"] for r in paths(tree, span).collect()}["d"] == ["r", "a", "c", "d"]
+
+
+def test_lists_are_ranked_alike_by_one_task_and_by_many(spark, scratch):
+    rng = random.Random(2)
+    e = rng.sample(range(10_000), 900)
+    ends = {e[99], e[100], e[899]}  # lists of 100, 1 and 799 elements
+    rows = [(x, None if x in ends else e[i + 1], rng.randrange(5), rng.randrange(-3, 3)) for i, x in enumerate(e)]
+    want, after = {}, None
+    for x, nx, cnt, total in reversed(rows):
+        after = (x, x, cnt, total) if nx is None else (x, after[1], after[2] + cnt, after[3] + total)
+        want[x] = after
+    df = spark.createDataFrame(rows, "e long, nx long, cnt long, sum long")
+    for most in (10_000, 400, 20):
+        assert sorted(tuple(r) for r in rank(df, scratch, most).collect()) == sorted(want.values())
+    assert rank(df.limit(0), scratch).count() == 0
+
+
+def test_ladder(spark, scratch, monkeypatch):
+    """Every rung has a deep parent of least number and a shallow one; both ways of settling the depths."""
+    monkeypatch.setattr(hierarchy, "RANKED", 30)
+    links = [("a00", "s00"), *[(f"a{i:02}", f"a{i + 1:02}") for i in range(40)], *[(f"s{i:02}", f"s{i + 1:02}") for i in range(25)], *[("a40", f"s{i:02}") for i in range(1, 26)]]
+    want = brute(links, [])
+    assert want["s25"] == ("a00", 26, 0)
+    for core in (20_000, 0):
+        assert run(spark, scratch, links, core_links=core)[1] == want
+
+
+def test_deep_chain_and_wide_star(spark, scratch, monkeypatch):
+    monkeypatch.setattr(hierarchy, "CHUNK", 7)
+    monkeypatch.setattr(hierarchy, "RANKED", 500)
+    links = [(f"c{i:04}", f"c{i + 1:04}") for i in range(700)] + [("c0350", f"l{i}") for i in range(300)]
+    tree, got = run(spark, scratch, links)
+    assert got == brute(links, [])
+    t = [(r["tin"], r["tout"], r["size"]) for r in tree.collect()]
+    assert sorted(x for a, b, _ in t for x in (a, b)) == list(range(2 * len(t))) and all(b - a == 2 * n - 1 for a, b, n in t)
+    assert {len(r["path"]) for r in paths(tree, 100).collect()} == set(range(1, 702))
 
 
 def test_loops_of():

@@ -1,17 +1,24 @@
 """Problem 3: parent-child links to full hierarchies.
 
-1. Leaves and roots are peeled off the links until only loops and what lies between loops remain; the strongly
-   connected parts of that core are the loops.
-2. Every node takes one parent. Pointer doubling gives the depth each choice leads to; a node with several parents
-   changes to a shallower one until nobody gains. The number of rounds follows the logarithm of the depth.
-3. The forest is laid out as Euler tours (one list per root, an entry and an exit per node) and ranked by parallel
-   list ranking. Entry and exit give depth, root, size and every ancestor-descendant question as an interval test.
+1. Pointer doubling leads every node with one parent up to a root or to the next node with several, in as many rounds as
+   the logarithm of such chains; what hangs from roots alone is settled by that.
+2. From the links of all others leaves and roots are peeled until only loops and what lies between loops remain; the
+   strongly connected parts of that core are the loops.
+3. The nodes with several parents, joined by their chains, form a small graph with lengths; its least distances from the
+   roots give every node its depth and its parent.
+4. The forest is laid out as Euler tours (one list per root, an entry and an exit per node) and ranked by parallel
+   list ranking. Leaves need no ranking: they stand first among their siblings. Of a long list an eighth of the elements
+   is picked by hash, the others are led to the next of these, and the list of those is ranked in the same way.
+5. Entry and exit give depth, root, size and ancestors as an interval test; a sweep over entries in order, with the open
+   intervals as a stack, gives paths.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +30,10 @@ from thesaurion.runtime import Scratch, keyed_join
 CORE_LINKS = 20_000
 #: Children per chunk of a parent's sibling chain.
 CHUNK = 5_000
+#: A list of at most this many elements is ranked by one task, by the same doubling; of a longer one, one in PICK goes on.
+RANKED, PICK = 100_000, 8
+#: Positions of a tour that one task sweeps.
+SPAN = 200_000
 
 
 def number_nodes(links: DataFrame, nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -141,81 +152,169 @@ def _loops_distributed(core: DataFrame, scratch: Scratch, core_links: int) -> Da
             return found
 
 
-def _depths(choice: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, par, depth) of nodes under the chosen parents; depth null where the chain of parents ends in a loop.
+def chains(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, par, several, top, dist, rooted): par the least parent other than the node itself, several whether there are
+    more. top is the root (rooted) or the node with several parents that the chain of single parents leads to in dist
+    links, null where it runs into a loop.
 
-    Pointer doubling. Depths lie without gaps from 0, so a round that settles nobody is the last."""
-    state = scratch.cut(choice.select("v", "par", F.coalesce("par", "v").alias("anc"), F.when(F.col("par").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.col("par").isNull().alias("done")))
+    Distances to the tops lie without gaps, so a round of doubling that settles nobody is the last."""
+    other = F.when(F.col("p") != F.col("c"), F.col("p"))
+    first = links.groupBy(F.col("c").alias("v")).agg(F.min(other).alias("par"), F.count(other).alias("n"))
+    root, single = F.col("n").isNull(), F.coalesce(F.col("n") == 1, F.lit(False))
+    begun = nodes.select(F.col("nid").alias("v")).join(first, "v", "left")
+    state = begun.select("v", "par", F.coalesce(F.col("n") > 1, F.lit(False)).alias("several"), F.when(single, F.col("par")).when(root | (F.col("n") > 1), F.col("v")).alias("top"), single.cast("long").alias("dist"), root.alias("rooted"), (~single).alias("done"))
+    state = scratch.cut(state)
     done, n = state.where("done").count(), state.count()
-    while True:
-        ahead = state.select(F.col("v").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
-        hop = keyed_join(state.where("not done"), ahead, ["anc"], total=n - done)
-        hop = hop.select("v", "par", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"))
+    while done < n:
+        ahead = state.select(F.col("v").alias("top"), F.col("top").alias("top2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("rooted").alias("rooted2"))
+        hop = keyed_join(state.where("not done"), ahead, ["top"], total=n - done)
+        hop = hop.select("v", "par", "several", F.col("top2").alias("top"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("rooted2").alias("rooted"), F.col("done2").alias("done"))
         state, old = scratch.cut(state.where("done").union(hop)), state
         scratch.drop(old)
         done, before = state.where("done").count(), done
-        if done == before or done == n:
-            return state.select("v", "par", F.when(F.col("done"), F.col("dist")).alias("depth"))
+        if done == before:
+            break
+    return state.select("v", "par", "several", F.when(F.col("done"), F.col("top")).alias("top"), "dist", F.coalesce("rooted", F.lit(False)).alias("rooted"))
+
+
+def shortest(pairs: list[tuple[int, int, int, bool]]) -> list[tuple[int, int]]:
+    """(node, least length from a root) for links (top, node, length, top is a root); Dijkstra's algorithm."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    heap = []
+    for top, node, length, rooted in pairs:
+        if rooted:
+            heap.append((length, node))
+        else:
+            out.setdefault(top, []).append((length, node))
+    heapq.heapify(heap)
+    best: dict[int, int] = {}
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v not in best:
+            best[v] = d
+            for length, w in out.get(v, ()):
+                if w not in best:
+                    heapq.heappush(heap, (d + length, w))
+    return list(best.items())
+
+
+def _least_lengths(legs: DataFrame, n: int, scratch: Scratch, core_links: int) -> DataFrame:
+    """(v, d): least length from a root of the nodes with several parents. legs: t, v, w, rooted. Up to core_links of them
+    are settled by one task; more by rounds that follow the last gains, one for each such node on the way."""
+    if n <= core_links:
 
+        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pairs = [x for b in batches for x in zip(b["t"].tolist(), b["v"].tolist(), b["w"].tolist(), b["rooted"].tolist())]
+            yield pd.DataFrame(shortest(pairs), columns=["v", "d"], dtype="int64")
+
+        return scratch.cut(legs.select("t", "v", "w", "rooted").coalesce(1).mapInPandas(one, "v long, d long"))
+    known = scratch.cut(legs.where("rooted").groupBy("v").agg(F.min("w").alias("d")).withColumn("gained", F.lit(True)))
+    while known.where("gained").limit(1).count():
+        gained = known.where("gained").select(F.col("v").alias("t"), F.col("d").alias("at"))
+        offers = keyed_join(legs.where("not rooted"), gained, ["t"], total=n).groupBy("v").agg(F.min(F.col("at") + F.col("w")).alias("o"))
+        new = known.select("v", "d").join(offers, "v", "full")
+        new = new.select("v", F.least("d", "o").alias("d"), F.coalesce(F.col("o") < F.col("d"), F.col("d").isNull()).alias("gained"))
+        known, old = scratch.cut(new), known
+        scratch.drop(old)
+    return known.select("v", "d")
+
+
+def least_depth_parents(state: DataFrame, links: DataFrame, scratch: Scratch, core_links: int = CORE_LINKS) -> DataFrame:
+    """(v, par, depth): a parent of least depth for each node that a root reaches (the least such parent), null for roots.
+    state: as from `chains`."""
+    tops = state.where("top is not null").select(F.col("v").alias("p"), F.col("top").alias("t"), (F.col("dist") + 1).alias("w"), "rooted")
+    to = links.where("p <> c").join(state.where("several").select(F.col("v").alias("c")), "c")
+    n = to.count()
+    legs = scratch.cut(keyed_join(to, tops, ["p"], total=n).select("p", F.col("c").alias("v"), "t", "w", "rooted"))
+    best = _least_lengths(legs, n, scratch, core_links)
+    at = best.select(F.col("v").alias("t"), F.col("d").alias("at"))
+    reached = keyed_join(legs, at, ["t"], "left", total=n).withColumn("d", F.when(F.col("rooted"), F.col("w")).otherwise(F.col("at") + F.col("w"))).where("d is not null")
+    chosen = reached.groupBy("v").agg(F.min(F.struct("d", "p"))["p"].alias("chosen"))
+    deep = keyed_join(state.where("top is not null").withColumnRenamed("top", "t"), at, ["t"], "left")
+    deep = deep.withColumn("depth", F.when(F.col("rooted"), F.col("dist")).otherwise(F.col("at") + F.col("dist"))).where("depth is not null")
+    return scratch.cut(deep.join(chosen, "v", "left").select("v", F.coalesce("chosen", "par").alias("par"), "depth"))
+
+
+def rank_local(rows: pd.DataFrame) -> pd.DataFrame:
+    """Lists of e, nx, cnt, sum (nx -1 at an end): for each element the last one, and cnt and sum from it to the end."""
+    rows = rows.sort_values("e", ignore_index=True)
+    e, nx = rows["e"].to_numpy(), rows["nx"].to_numpy()
+    at = np.where(nx < 0, np.arange(len(e)), np.searchsorted(e, nx))
+    add = np.where(nx < 0, 0, 1)
+    cnt, total = rows["cnt"].to_numpy().copy(), rows["sum"].to_numpy().copy()
+    while add.any():
+        cnt, total = cnt + add * cnt[at], total + add * total[at]
+        add, at = add * add[at], at[at]
+    return pd.DataFrame({"e": e, "last": e[at], "cnt": cnt, "sum": total})
+
+
+def rank(lists: DataFrame, scratch: Scratch, ranked: int | None = None) -> DataFrame:
+    """(e, last, cnt, sum) of each element of linked lists (e, nx, cnt, sum; nx null at an end): the last element of its
+    list, and what cnt and sum add up to from it to the end. Work is in proportion to the elements, not times rounds."""
+    ranked = RANKED if ranked is None else ranked
+    if lists.count() <= ranked:
 
-def least_depth_parents(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, par, depth): a parent of least depth for each node (the least such parent), null for roots; nodes that no
-    root reaches have no depth. A node whose only parent is itself has a parent, hence is no root."""
-    other = F.when(F.col("p") != F.col("c"), F.col("p"))
-    first = links.groupBy(F.col("c").alias("v")).agg(F.coalesce(F.min(other), F.min("p")).alias("par"), F.count(F.lit(1)).alias("n"))
-    choice = scratch.cut(nodes.select(F.col("nid").alias("v")).join(first, "v", "left"))
-    several = scratch.cut(links.where("p <> c").join(choice.where("n > 1").select(F.col("v").alias("c")), "c"))
-    now = _depths(choice.select("v", "par"), scratch)
-    while True:
-        offers = several.join(now.select(F.col("v").alias("p"), F.col("depth").alias("d")), "p").where("d is not null")
-        offers = offers.groupBy(F.col("c").alias("v")).agg(F.min(F.struct("d", "p")).alias("o"))
-        new = scratch.cut(now.join(offers, "v", "left").select("v", "par", "depth", F.col("o.p").alias("op"), F.col("o.d").alias("od")))
-        better = (F.col("od") + 1 < F.col("depth")) | (F.col("depth").isNull() & F.col("od").isNotNull())
-        if new.where(better).limit(1).count() == 0:
-            same = F.coalesce(F.col("od") + 1 == F.col("depth"), F.lit(False))
-            return scratch.cut(new.select("v", F.when(same, F.col("op")).otherwise(F.col("par")).alias("par"), "depth"))
-        now = _depths(new.select("v", F.when(better, F.col("op")).otherwise(F.col("par")).alias("par")), scratch)
+        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [b for b in batches if len(b)]
+            if held:
+                yield rank_local(pd.concat(held))
+
+        rows = lists.select("e", F.coalesce("nx", F.lit(-1)).cast("long").alias("nx"), "cnt", "sum")
+        return scratch.cut(rows.coalesce(1).mapInPandas(one, "e long, last long, cnt long, sum long"))
+    picked = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK)) == 0
+    state = scratch.cut(lists.select("e", "nx", "cnt", "sum", (F.col("nx").isNotNull() & ~picked("nx")).alias("goes")))
+    while state.where("goes").limit(1).count():
+        ahead = state.select(F.col("e").alias("nx"), F.col("nx").alias("nx2"), F.col("cnt").alias("cnt2"), F.col("sum").alias("sum2"), F.col("goes").alias("goes2"))
+        hop = state.where("goes").join(ahead, "nx").select("e", F.col("nx2").alias("nx"), (F.col("cnt") + F.col("cnt2")).alias("cnt"), (F.col("sum") + F.col("sum2")).alias("sum"), F.col("goes2").alias("goes"))
+        state, old = scratch.cut(state.where("not goes").union(hop)), state
+        scratch.drop(old)
+    few = rank(state.where(picked("e")).select("e", "nx", "cnt", "sum"), scratch, ranked)
+    ahead = few.select(F.col("e").alias("nx"), "last", F.col("cnt").alias("cnt2"), F.col("sum").alias("sum2"))
+    far = state.where("nx is not null").join(ahead, "nx").select("e", "last", (F.col("cnt") + F.col("cnt2")).alias("cnt"), (F.col("sum") + F.col("sum2")).alias("sum"))
+    return scratch.cut(far.union(state.where("nx is null").select("e", F.col("e").alias("last"), "cnt", "sum")))
 
 
 def euler_tours(forest: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, root, lvl, tin, tout, size) of every node of a forest (v, par), by list ranking.
+    """(v, par, root, lvl, tin, tout, size) of every node of a forest (v, par), by list ranking.
 
-    Elements 2v (entry) and 2v + 1 (exit) form one list per root. Sibling chains are cut into chunks of children, so
-    that a parent with very many of them is no single group. Ranking doubles the pointers: a round per power of two."""
+    Elements 2v (entry) and 2v + 1 (exit) of nodes with children form one list per root; an entry counts for the leaves
+    below it, which follow it at once. Siblings are numbered and chained in chunks, so that a parent with very many
+    children is no single group."""
     kids = forest.where("par is not null").select("par", "v")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    sizes = kids.groupBy("par").agg(F.count(F.lit(1)).alias("n")).select("par", chunks.alias("k"))
-    salted = keyed_join(kids, sizes, ["par"]).select("par", "v", F.pmod(F.hash("v"), F.col("k")).alias("s"))
-    chain = scratch.cut(salted.withColumn("nxt", F.lead("v").over(W.partitionBy("par", "s").orderBy("v"))))
-    ends = chain.groupBy("par", "s").agg(F.min("v").alias("a"), F.max("v").alias("z"))
-    ends = ends.withColumn("after", F.lead("a").over(W.partitionBy("par").orderBy("s")))
-    heads = ends.groupBy("par").agg(F.min_by("a", "s").alias("head"))
-    link = ends.select(F.col("z").alias("v"), "after")
-    sib = chain.join(link, "v", "left").select("v", "par", F.coalesce("nxt", "after").alias("nxt"))
-    enter = forest.join(heads.select(F.col("par").alias("v"), "head"), "v", "left").select((F.col("v") * 2).alias("e"), F.coalesce(F.col("head") * 2, F.col("v") * 2 + 1).alias("nx"), F.lit(-1).alias("w"))
-    leave = sib.select((F.col("v") * 2 + 1).alias("e"), F.coalesce(F.col("nxt") * 2, F.col("par") * 2 + 1).alias("nx"), F.lit(1).alias("w"))
-    stop = forest.where("par is null").select((F.col("v") * 2 + 1).alias("e"), F.lit(None).cast("long").alias("nx"), F.lit(1).alias("w"))
-    # `last` is the last element seen, cnt and sum run from the element to just before nx
-    state = scratch.cut(enter.union(leave).union(stop).select("e", "nx", F.col("e").alias("last"), F.lit(1).cast("long").alias("cnt"), F.col("w").cast("long").alias("sum")))
-    while True:
-        open_ = state.where("nx is not null")
-        if open_.limit(1).count() == 0:
-            break
-        ahead = state.select(F.col("e").alias("nx"), F.col("nx").alias("nx2"), F.col("last").alias("last2"), F.col("cnt").alias("cnt2"), F.col("sum").alias("sum2"))
-        hop = open_.join(ahead, "nx").select("e", F.col("nx2").alias("nx"), F.col("last2").alias("last"), (F.col("cnt") + F.col("cnt2")).alias("cnt"), (F.col("sum") + F.col("sum2")).alias("sum"))
-        state, old = scratch.cut(state.where("nx is null").union(hop)), state
-        scratch.drop(old)
+    n = kids.count()
+    sizes = kids.groupBy("par").agg(F.count(F.lit(1)).alias("n"))
+    inner = scratch.cut(sizes.select(F.col("par").alias("v"), F.ceil(F.col("n") / CHUNK).cast("int").alias("k")))
+    marked = kids.join(inner.select("v", F.lit(True).alias("inner")), "v", "left")
+    marked = keyed_join(marked, inner.withColumnRenamed("v", "par"), ["par"], total=n).select("par", "v", F.coalesce("inner", F.lit(False)).alias("inner"), F.pmod(F.hash("v"), F.col("k")).alias("s"))
+    w = W.partitionBy("par", "s", "inner").orderBy("v")
+    chain = scratch.cut(marked.withColumn("nth", F.row_number().over(w)).withColumn("nxt", F.lead("v").over(w)))
+    ends = scratch.cut(chain.groupBy("par", "s", "inner").agg(F.min("v").alias("a"), F.max("v").alias("z"), F.count(F.lit(1)).alias("m")))
+    by = W.partitionBy("par", "inner").orderBy("s")
+    ends = ends.withColumn("after", F.lead("a").over(by)).withColumn("before", F.sum("m").over(by) - F.col("m"))
+    heads = ends.groupBy("par").agg(F.min_by("a", F.when(F.col("inner"), F.col("s"))).alias("head"), F.coalesce(F.sum(F.when(~F.col("inner"), F.col("m"))), F.lit(0)).alias("leaves"))
+    after = ends.where("inner").select(F.col("z").alias("v"), "after")
+    sib = chain.where("inner").join(after, "v", "left").select("v", "par", F.coalesce("nxt", "after").alias("nxt"))
+    enter = heads.select((F.col("par") * 2).alias("e"), F.coalesce(F.col("head") * 2, F.col("par") * 2 + 1).alias("nx"), (1 + 2 * F.col("leaves")).alias("cnt"), F.lit(-1).cast("long").alias("sum"))
+    one = F.lit(1).cast("long")
+    leave = sib.select((F.col("v") * 2 + 1).alias("e"), F.coalesce(F.col("nxt") * 2, F.col("par") * 2 + 1).alias("nx"), one.alias("cnt"), one.alias("sum"))
+    roots = forest.where("par is null").select("v").join(inner.select("v", "k"), "v", "left")
+    stop = roots.where("k is not null").select((F.col("v") * 2 + 1).alias("e"), F.lit(None).cast("long").alias("nx"), one.alias("cnt"), one.alias("sum"))
+    done = rank(scratch.cut(enter.union(leave).union(stop)), scratch)
     # from an entry to the end the weights add up to the number of its ancestors; the root's entry spans the whole list
-    ranked = state.groupBy(F.shiftright("e", 1).alias("v")).agg(
-        F.max(F.when(F.col("e") % 2 == 0, F.col("cnt"))).alias("from_in"),
-        F.max(F.when(F.col("e") % 2 == 1, F.col("cnt"))).alias("from_out"),
-        F.max(F.when(F.col("e") % 2 == 0, F.col("sum"))).alias("lvl"),
-        F.shiftright(F.max("last"), 1).alias("root"),
-    )
-    ranked = scratch.cut(ranked)
-    whole = ranked.where("v = root").select("root", F.col("from_in").alias("len"))
-    out = keyed_join(ranked, whole, ["root"])
-    return out.select("v", "root", F.col("lvl").cast("int").alias("lvl"), (F.col("len") - F.col("from_in")).alias("tin"), (F.col("len") - F.col("from_out")).alias("tout"), ((F.col("from_in") - F.col("from_out") + 1) / 2).cast("long").alias("size"))
+    even = F.col("e") % 2 == 0
+    own = done.groupBy(F.shiftright("e", 1).alias("v")).agg(F.max(F.when(even, F.col("cnt"))).alias("from_in"), F.max(F.when(~even, F.col("cnt"))).alias("from_out"), F.max(F.when(even, F.col("sum"))).alias("lvl"), F.shiftright(F.max("last"), 1).alias("root"))
+    own = scratch.cut(own)
+    whole = own.where("v = root").select("root", F.col("from_in").alias("len"))
+    out = keyed_join(own, whole, ["root"])
+    out = scratch.cut(out.select("v", "root", F.col("lvl").cast("int").alias("lvl"), (F.col("len") - F.col("from_in")).alias("tin"), (F.col("len") - F.col("from_out")).alias("tout"), ((F.col("from_in") - F.col("from_out") + 1) / 2).cast("long").alias("size")))
+    inside = out.join(kids.select("v", "par"), "v", "left").select("v", "par", "root", "lvl", "tin", "tout", "size")
+    place = ends.where("not inner").select("par", "s", "before")
+    leaf = chain.where("not inner").join(place, ["par", "s"]).select("v", "par", (2 * (F.col("before") + F.col("nth")) - 1).alias("on"))
+    leaf = keyed_join(leaf, out.select(F.col("v").alias("par"), "root", (F.col("lvl") + 1).alias("lvl"), "tin"), ["par"])
+    leaf = leaf.select("v", "par", "root", "lvl", (F.col("tin") + F.col("on")).alias("tin"), (F.col("tin") + F.col("on") + 1).alias("tout"), one.alias("size"))
+    none = F.lit(0).cast("long")
+    alone = roots.where("k is null").select("v", F.lit(None).cast("long").alias("par"), F.col("v").alias("root"), F.lit(0).alias("lvl"), none.alias("tin"), one.alias("tout"), one.alias("size"))
+    return inside.union(leaf).union(alone)
 
 
 def hierarchies(links: DataFrame, nodes: DataFrame, scratch: Scratch, core_links: int = CORE_LINKS) -> DataFrame:
@@ -226,12 +325,16 @@ def hierarchies(links: DataFrame, nodes: DataFrame, scratch: Scratch, core_links
     node without parents leads to the node. A node is on_cycle 1 if it reaches itself. A node with several parents
     stands in the tours under one of least depth. Blank handling and spelling are the caller's. Empty input gives no row."""
     ids, pairs = number_nodes(links, nodes, scratch)
-    knots = loops(pairs, scratch, core_links)
-    forest = scratch.cut(least_depth_parents(ids, pairs, scratch).where("depth is not null").select("v", "par"))
+    state = scratch.cut(chains(ids, pairs, scratch))
+    # what hangs from roots by single parents is on no loop but its own
+    loose = state.where("not rooted").select("v")
+    core = pairs.join(loose, pairs.c == loose.v, "left_semi")
+    core = core.join(loose, core.p == loose.v, "left_semi").union(pairs.where("p = c")).distinct()
+    knots = loops(scratch.cut(core), scratch, core_links)
+    forest = least_depth_parents(state, pairs, scratch, core_links)
     tours = euler_tours(forest.select("v", "par"), scratch)
     named = ids.select(F.col("nid").alias("root"), F.col("node").alias("root_id"))
     out = ids.join(knots.select("nid", F.lit(1).alias("on_cycle")), "nid", "left").join(tours.withColumnRenamed("v", "nid"), "nid", "left")
-    out = out.join(forest.select(F.col("v").alias("nid"), "par"), "nid", "left")
     out = scratch.cut(out)
     out = keyed_join(out, named, ["root"], "left")
     return out.select("hier", "node", "nid", "par", F.col("root").alias("root_nid"), F.coalesce("root_id", F.lit("")).alias("root_id"), F.coalesce("lvl", F.lit(-1)).alias("lvl"), "tin", "tout", "size", F.coalesce("on_cycle", F.lit(0)).alias("on_cycle"))
@@ -258,12 +361,28 @@ def descendants(links: DataFrame, scratch: Scratch) -> DataFrame:
         far *= 2
 
 
-def paths(tree: DataFrame, scratch: Scratch) -> DataFrame:
-    """(nid, path array<long> from the root to the node) for nodes with a root; doubling, so in log(depth) rounds."""
-    state = scratch.cut(tree.where("lvl >= 0").select("nid", "par", F.array("nid").alias("path")))
-    while state.where("par is not null").limit(1).count():
-        up = state.select(F.col("nid").alias("par"), F.col("par").alias("par2"), F.col("path").alias("head"))
-        hop = keyed_join(state.where("par is not null"), up, ["par"]).select("nid", F.col("par2").alias("par"), F.concat("head", "path").alias("path"))
-        state, old = scratch.cut(state.where("par is null").union(hop)), state
-        scratch.drop(old)
-    return state.select("nid", "path")
+def paths(tree: DataFrame, span: int | None = None) -> DataFrame:
+    """(nid, path array<string>, the nodes from the root to the node) for nodes with a root, from the entry-exit intervals
+    of `hierarchies`: a stretch of a tour is swept in order of entries, the open intervals are the ancestors. A tour is
+    cut into stretches of `span` positions, each of which also gets the intervals that are open where it begins."""
+    span = SPAN if span is None else span
+    own = tree.where("lvl >= 0").select("nid", "node", "root_nid", "tin", "tout", F.expr(f"tin div {span}").alias("part"), F.lit(True).alias("own"))
+    over = own.where(f"tout div {span} > part").withColumn("part", F.explode(F.expr(f"sequence(part + 1, tout div {span})"))).withColumn("own", F.lit(False))
+    # small tours share a task
+    rows = own.unionByName(over).withColumn("lot", F.pmod(F.xxhash64("root_nid", "part"), F.lit(own.sparkSession.sparkContext.defaultParallelism * 8)))
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["part", "root_nid", "tin"])
+        at, stack, nid, path = None, [], [], []
+        for part, root, i, name, tin, tout, mine in zip(*(pdf[c].tolist() for c in ("part", "root_nid", "nid", "node", "tin", "tout", "own"))):
+            if at != (part, root):
+                at, stack = (part, root), []
+            while stack and stack[-1][0] < tin:
+                stack.pop()
+            stack.append((tout, name))
+            if mine:
+                nid.append(i)
+                path.append([x for _, x in stack])
+        return pd.DataFrame({"nid": nid, "path": pd.Series(path, dtype=object)})
+
+    return rows.groupBy("lot").applyInPandas(sweep, "nid long, path array<string>")
