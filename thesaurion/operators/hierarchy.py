@@ -236,7 +236,8 @@ def least_depth_parents(state: DataFrame, links: DataFrame, scratch: Scratch, co
 
 
 def rank_local(rows: pd.DataFrame) -> pd.DataFrame:
-    """Lists of e, nx, cnt, sum (nx -1 at an end): for each element the last one, and cnt and sum from it to the end."""
+    """Lists of e, nx, last, cnt, sum (nx -1 at an end): for each element the `last` of the end of its list, and what cnt
+    and sum add up to from it to the end."""
     rows = rows.sort_values("e", ignore_index=True)
     e, nx = rows["e"].to_numpy(), rows["nx"].to_numpy()
     at = np.where(nx < 0, np.arange(len(e)), np.searchsorted(e, nx))
@@ -245,13 +246,18 @@ def rank_local(rows: pd.DataFrame) -> pd.DataFrame:
     while add.any():
         cnt, total = cnt + add * cnt[at], total + add * total[at]
         add, at = add * add[at], at[at]
-    return pd.DataFrame({"e": e, "last": e[at], "cnt": cnt, "sum": total})
+    return pd.DataFrame({"e": e, "last": rows["last"].to_numpy()[at], "cnt": cnt, "sum": total})
 
 
 def rank(lists: DataFrame, scratch: Scratch, ranked: int | None = None) -> DataFrame:
     """(e, last, cnt, sum) of each element of linked lists (e, nx, cnt, sum; nx null at an end): the last element of its
     list, and what cnt and sum add up to from it to the end. Work is in proportion to the elements, not times rounds."""
     ranked = RANKED if ranked is None else ranked
+    return _rank(lists.select("e", "nx", F.col("e").alias("last"), "cnt", "sum"), scratch, ranked)
+
+
+def _rank(lists: DataFrame, scratch: Scratch, ranked: int) -> DataFrame:
+    """`last` is the last element that an element's cnt and sum take in, which run to just before nx."""
     if lists.count() <= ranked:
 
         def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,19 +265,20 @@ def rank(lists: DataFrame, scratch: Scratch, ranked: int | None = None) -> DataF
             if held:
                 yield rank_local(pd.concat(held))
 
-        rows = lists.select("e", F.coalesce("nx", F.lit(-1)).cast("long").alias("nx"), "cnt", "sum")
+        rows = lists.select("e", F.coalesce("nx", F.lit(-1)).cast("long").alias("nx"), "last", "cnt", "sum")
         return scratch.cut(rows.coalesce(1).mapInPandas(one, "e long, last long, cnt long, sum long"))
     picked = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK)) == 0
-    state = scratch.cut(lists.select("e", "nx", "cnt", "sum", (F.col("nx").isNotNull() & ~picked("nx")).alias("goes")))
+    goes = F.col("nx").isNotNull() & ~picked("nx")
+    state = scratch.cut(lists.withColumn("goes", goes))
+    both = [F.col("last2").alias("last"), (F.col("cnt") + F.col("cnt2")).alias("cnt"), (F.col("sum") + F.col("sum2")).alias("sum")]
+    ahead = lambda rows: rows.withColumnsRenamed({"nx": "nx2", "e": "nx", "last": "last2", "cnt": "cnt2", "sum": "sum2", "goes": "goes2"})
     while state.where("goes").limit(1).count():
-        ahead = state.select(F.col("e").alias("nx"), F.col("nx").alias("nx2"), F.col("cnt").alias("cnt2"), F.col("sum").alias("sum2"), F.col("goes").alias("goes2"))
-        hop = state.where("goes").join(ahead, "nx").select("e", F.col("nx2").alias("nx"), (F.col("cnt") + F.col("cnt2")).alias("cnt"), (F.col("sum") + F.col("sum2")).alias("sum"), F.col("goes2").alias("goes"))
+        hop = state.where("goes").drop("last").join(ahead(state), "nx").select("e", F.col("nx2").alias("nx"), *both, F.col("goes2").alias("goes"))
         state, old = scratch.cut(state.where("not goes").union(hop)), state
         scratch.drop(old)
-    few = rank(state.where(picked("e")).select("e", "nx", "cnt", "sum"), scratch, ranked)
-    ahead = few.select(F.col("e").alias("nx"), "last", F.col("cnt").alias("cnt2"), F.col("sum").alias("sum2"))
-    far = state.where("nx is not null").join(ahead, "nx").select("e", "last", (F.col("cnt") + F.col("cnt2")).alias("cnt"), (F.col("sum") + F.col("sum2")).alias("sum"))
-    return scratch.cut(far.union(state.where("nx is null").select("e", F.col("e").alias("last"), "cnt", "sum")))
+    few = _rank(state.where(picked("e")).drop("goes"), scratch, ranked)
+    far = state.where("nx is not null").drop("last").join(ahead(few), "nx").select("e", *both)
+    return scratch.cut(far.union(state.where("nx is null").select("e", "last", "cnt", "sum")))
 
 
 def euler_tours(forest: DataFrame, scratch: Scratch) -> DataFrame:
