@@ -256,7 +256,7 @@ def rank(lists: DataFrame, scratch: Scratch, ranked: int | None = None) -> DataF
     return _rank(lists.select("e", "nx", F.col("e").alias("last"), "cnt", "sum"), scratch, ranked)
 
 
-def _rank(lists: DataFrame, scratch: Scratch, ranked: int) -> DataFrame:
+def _rank(lists: DataFrame, scratch: Scratch, ranked: int, level: int = 0) -> DataFrame:
     """`last` is the last element that an element's cnt and sum take in, which run to just before nx."""
     if lists.count() <= ranked:
 
@@ -267,7 +267,7 @@ def _rank(lists: DataFrame, scratch: Scratch, ranked: int) -> DataFrame:
 
         rows = lists.select("e", F.coalesce("nx", F.lit(-1)).cast("long").alias("nx"), "last", "cnt", "sum")
         return scratch.cut(rows.coalesce(1).mapInPandas(one, "e long, last long, cnt long, sum long"))
-    picked = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK)) == 0
+    picked = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(level)), F.lit(PICK)) == 0
     goes = F.col("nx").isNotNull() & ~picked("nx")
     state = scratch.cut(lists.withColumn("goes", goes))
     both = [F.col("last2").alias("last"), (F.col("cnt") + F.col("cnt2")).alias("cnt"), (F.col("sum") + F.col("sum2")).alias("sum")]
@@ -276,7 +276,7 @@ def _rank(lists: DataFrame, scratch: Scratch, ranked: int) -> DataFrame:
         hop = state.where("goes").drop("last").join(ahead(state), "nx").select("e", F.col("nx2").alias("nx"), *both, F.col("goes2").alias("goes"))
         state, old = scratch.cut(state.where("not goes").union(hop)), state
         scratch.drop(old)
-    few = _rank(state.where(picked("e")).drop("goes"), scratch, ranked)
+    few = _rank(state.where(picked("e")).drop("goes"), scratch, ranked, level + 1)
     far = state.where("nx is not null").drop("last").join(ahead(few), "nx").select("e", *both)
     return scratch.cut(far.union(state.where("nx is null").select("e", "last", "cnt", "sum")))
 
