@@ -82,26 +82,29 @@ class Block:
         self.own = own
         self.dense = np.zeros((docs, own), np.float32)
         self.dense[row[wide], col[wide]] = count[wide]
+        self.room = np.empty_like(self.dense)
         thin = np.flatnonzero(~wide)
         self.row, self.col, self.count = row[thin], col[thin], count[thin]
         self.first = np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1]]) if len(self.row) else np.array([], int)
         self.size = np.bincount(row, weights=count, minlength=docs).astype(np.float32)
 
-    def ratio(self, theta: np.ndarray, weights: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts over their expectation, of the dense and the sparse part. rare: the weights at the sparse entries."""
-        wide = self.dense / (theta @ weights[:, : self.own] + 1e-30)
-        return wide, self.count / (np.einsum("nk,nk->n", theta[self.row], rare) + 1e-30)
+    def ratio(self, theta: np.ndarray, wide: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts over their expectation, of the dense and the sparse part; the dense one lasts until the next call.
+        wide: the weights of the common columns, rare: those at the sparse entries. Both are above 0, as is theta."""
+        np.matmul(theta, wide, out=self.room)
+        np.divide(self.dense, self.room, out=self.room)
+        return self.room, self.count / np.einsum("nk,nk->n", np.take(theta, self.row, 0), rare)
 
     def infer(self, weights: np.ndarray, inner: int = INNER) -> np.ndarray:
         """Variational topic weights of each document."""
         k = len(weights)
         rare = np.ascontiguousarray(weights[:, self.col].T)
-        wide_t = np.ascontiguousarray(weights[:, : self.own].T)
+        wide = np.ascontiguousarray(weights[:, : self.own])
         gamma = np.ones((len(self.size), k), np.float32) + self.size[:, None] / k
         for _ in range(inner):
             theta = _mean(gamma)
-            wide, thin = self.ratio(theta, weights, rare)
-            share = wide @ wide_t
+            dense, thin = self.ratio(theta, wide, rare)
+            share = dense @ wide.T
             if len(self.first):
                 share[self.row[self.first]] += np.add.reduceat(thin[:, None] * rare, self.first)
             gamma = PRIOR + theta * share
@@ -109,12 +112,15 @@ class Block:
 
     def expected(self, theta: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected counts per topic and column."""
-        wide, thin = self.ratio(theta, weights, weights[:, self.col].T)
+        dense, thin = self.ratio(theta, np.ascontiguousarray(weights[:, : self.own]), np.ascontiguousarray(weights[:, self.col].T))
         out = np.zeros(weights.shape, np.float64)
-        out[:, : self.own] = (theta.T @ wide) * weights[:, : self.own]
-        at, place = np.unique(self.col, return_inverse=True)
-        for i in range(len(weights)):
-            out[i, at] = np.bincount(place, weights=thin * theta[self.row, i], minlength=len(at)) * weights[i, at]
+        out[:, : self.own] = (theta.T @ dense) * weights[:, : self.own]
+        order = np.argsort(self.col, kind="stable")
+        if len(order):
+            col = self.col[order]
+            first = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
+            sums = np.add.reduceat(thin[order, None] * theta[self.row[order]], first)
+            out[:, col[first]] = sums.T * weights[:, col[first]]
         return out
 
 
@@ -122,18 +128,34 @@ def _mean(gamma: np.ndarray) -> np.ndarray:
     return np.exp(_digamma(gamma) - _digamma(gamma.sum(1, keepdims=True))).astype(np.float32)
 
 
-def _lists(values: np.ndarray, row: np.ndarray, rows: int, kind=np.int32) -> pa.ListArray:
-    """A column of lists from values and the row of each; rows only grow."""
-    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=rows))].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(kind)))
+def _packs(values: np.ndarray, row: np.ndarray, rows: int, kind: type = np.int32) -> pa.Array:
+    """A column of packed integers (their bytes, which cost the JVM nothing) from values and the row of each; rows only grow."""
+    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=rows))].astype(np.int32) * np.int32(np.dtype(kind).itemsize)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(np.ascontiguousarray(values, kind))])
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each element, elements) of a column of lists."""
+def _flat(column: pa.Array, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each element, elements) of a column of packed integers or of lists."""
+    if pa.types.is_binary(column.type):
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] // np.dtype(kind).itemsize
+        values = np.frombuffer(data, kind)[ends[0] : ends[-1]] if data is not None and len(column) else np.array([], kind)
+        return np.repeat(np.arange(len(column)), np.diff(ends)), values
     size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(size)), size), column.flatten().to_numpy(zero_copy_only=False)
 
 
+def _places(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place among its distinct words) of each word of a batch of `cleaned`; `high` holds the upper halves of the
+    places in texts with more than 65,536 distinct words."""
+    row, low = _flat(b.column("at"), np.uint16)
+    at = low.astype(np.int64)
+    of, high = _flat(b.column("high"), np.uint16)
+    if len(of):
+        at[np.isin(row, np.unique(of))] += high.astype(np.int64) << 16
+    return row, at
+
+
 def _ends(sentence: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """(places after the last word of each sentence, counted within its text; the text) for words in order."""
     end = np.flatnonzero(np.r_[sentence[1:] != sentence[:-1], True]) + 1 if len(sentence) else np.array([], int)
@@ -147,7 +169,7 @@ def tagged(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.coalesce(tag, F.lit("")).alias("tag"), "text")
 
 
-_CLEAN = "doc_id long, tag string, word array<int>, n array<int>, at array<int>, cut array<int>"
+_CLEAN = "doc_id long, tag string, word binary, n binary, at binary, high binary, cut binary"
 
 
 def cleaned(docs: DataFrame, tests: Triples | None) -> DataFrame:
@@ -172,9 +194,11 @@ def _packed(doc_id: pa.Array, tag: pa.Array, t: Tokens) -> pa.RecordBatch:
     pair, at, n = np.unique(t.text.astype(np.uint64) << np.uint64(32) | t.word, return_inverse=True, return_counts=True)
     row = (pair >> np.uint64(32)).astype(np.int64)
     begin = np.r_[0, np.cumsum(np.bincount(row, minlength=docs))]
+    place = at - begin[t.text]
+    wide = (np.bincount(row, minlength=docs) > 0x10000)[t.text]
     cut, of = _ends(t.sentence, t.text, docs)
-    lists = [_lists((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), row, docs), _lists(n, row, docs), _lists(at - begin[t.text], t.text, docs), _lists(cut, of, docs)]
-    return pa.RecordBatch.from_arrays([doc_id, tag, *lists], names=["doc_id", "tag", "word", "n", "at", "cut"])
+    lists = [_packs((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), row, docs), _packs(n, row, docs), _packs(place & 0xFFFF, t.text, docs, np.uint16), _packs(place[wide] >> 16, t.text[wide], docs, np.uint16), _packs(cut, of, docs)]
+    return pa.RecordBatch.from_arrays([doc_id, tag, *lists], names=["doc_id", "tag", "word", "n", "at", "high", "cut"])
 
 
 def _taken(sentence: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -186,7 +210,7 @@ def _taken(sentence: np.ndarray, hits: np.ndarray) -> np.ndarray:
 def _again(b: pa.RecordBatch) -> Tokens:
     """The words of a batch of `cleaned`, sentences numbered again."""
     row, word = _flat(b.column("word"))
-    text, at = _flat(b.column("at"))
+    text, at = _places(b)
     of, cut = _flat(b.column("cut"))
     held, begin = (np.r_[0, np.cumsum(np.bincount(x, minlength=b.num_rows))] for x in (row, text))
     sentence = np.repeat(np.arange(len(cut)), np.diff(np.r_[0, cut + begin[of]]))
@@ -215,19 +239,21 @@ def without_tests(docs: DataFrame, codes: DataFrame | None, scratch: Scratch, mo
     if n <= most:
         return scratch.cut(cleaned(docs, load(codes) if n else None))
     blocks = -(-n // most)
-    now = scratch.cut(cleaned(docs, None).withColumn("hit", F.transform("cut", lambda _: F.lit(0))))
+    now = scratch.cut(cleaned(docs, None).withColumn("hit", F.lit(None).cast("binary")))
     for k in range(blocks):
         some = load(codes.where(F.pmod("code", F.lit(blocks)) == k))
 
         def add(parts: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             for b in parts:
-                of, hit = _flat(b.column("hit"))
-                new = np.zeros(len(hit), np.int64)
+                of, _ = _flat(b.column("cut"))
+                hit = np.zeros(len(of), np.int64)
+                if not b.column("hit").null_count:
+                    hit += _flat(b.column("hit"))[1]
                 found = some.hits(_again(b))
-                new[: len(found)] = found
-                yield b.set_column(b.schema.get_field_index("hit"), "hit", _lists(hit + new, of, b.num_rows))
+                hit[: len(found)] += found
+                yield b.set_column(b.schema.get_field_index("hit"), "hit", _packs(hit, of, b.num_rows))
 
-        now, old = scratch.cut(now.mapInArrow(add, _CLEAN + ", hit array<int>")), now
+        now, old = scratch.cut(now.mapInArrow(add, _CLEAN + ", hit binary")), now
         scratch.drop(old)
 
     def drop(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,11 +388,11 @@ def bags(clean: DataFrame, langs: Languages) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             lang, text, col = _columns(b, langs)
-            n = b.column("n").flatten().to_numpy(zero_copy_only=False)
+            n = _flat(b.column("n"))[1]
             real = col >= 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang.astype(np.int32)), _lists(col[real], text[real], b.num_rows), _lists(n[real], text[real], b.num_rows)], names=["doc_id", "lang", "col", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang.astype(np.int32)), _packs(col[real], text[real], b.num_rows), _packs(n[real], text[real], b.num_rows)], names=["doc_id", "lang", "col", "n"])
 
-    return clean.select("doc_id", "word", "n").mapInArrow(run, "doc_id long, lang int, col array<int>, n array<int>")
+    return clean.select("doc_id", "word", "n").mapInArrow(run, "doc_id long, lang int, col binary, n binary")
 
 
 _ROWS = "lang int, topic int, row binary"
@@ -374,7 +400,7 @@ _ROWS = "lang int, topic int, row binary"
 
 def _rows(sums: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of some matrices, one per language, that hold anything: (lang, topic, row)."""
-    held = [(k, i, m[i].astype(np.float64).tobytes()) for k, m in enumerate(sums) for i in np.flatnonzero(m.any(1))]
+    held = [(k, i, m[i].astype(np.float32).tobytes()) for k, m in enumerate(sums) for i in np.flatnonzero(m.any(1))]
     return pa.RecordBatch.from_arrays([pa.array([x[j] for x in held], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["lang", "topic", "row"])
 
 
@@ -385,12 +411,12 @@ def _summed(parts: DataFrame, shapes: list[tuple[int, int]]) -> list[np.ndarray]
         total: np.ndarray | float = 0.0
         for b in some:
             for row in b.column("row"):
-                total = total + np.frombuffer(row.as_buffer())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["lang", "topic", "row"])
+                total = total + np.frombuffer(row.as_buffer(), np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["lang", "topic", "row"])
 
     out = [np.zeros(s) for s in shapes]
     for r in parts.groupBy("lang", "topic").applyInArrow(add, _ROWS).collect():
-        out[r["lang"]][r["topic"]] = np.frombuffer(r["row"])
+        out[r["lang"]][r["topic"]] = np.frombuffer(r["row"], np.float32)
     return out
 
 
@@ -446,7 +472,7 @@ def fit(bagged: DataFrame, models: list[Model], rounds: int = ROUNDS, still: flo
             total = [np.zeros(w.shape) for _, w in shared.value]
             for b in parts:
                 text, col = _flat(b.column("col"))
-                n = b.column("n").flatten().to_numpy(zero_copy_only=False)
+                n = _flat(b.column("n"))[1]
                 for k, _, block in _blocks(b.column("lang").to_numpy(zero_copy_only=False), text, col, n, held):
                     w = shared.value[k][1]
                     total[k] += block.expected(block.infer(w), w)
@@ -514,7 +540,7 @@ def assign(clean: DataFrame, langs: Languages, models: list[Model], subjects: in
             of[-1][np.flatnonzero(m.owner >= 0), m.owner[m.owner >= 0]] = 1
         for b in parts:
             lang, text, col = _columns(b, langs)
-            n = b.column("n").flatten().to_numpy(zero_copy_only=False)
+            n = _flat(b.column("n"))[1]
             mass = np.zeros((len(col), subjects), np.float32)  # what the topics of a document say of each of its words
             counts = np.zeros(len(col), bool)
             for k, docs, block in _blocks(lang, text, col, n, held):
@@ -528,7 +554,7 @@ def assign(clean: DataFrame, langs: Languages, models: list[Model], subjects: in
                 p = theta[place[text[some]]] * w[:, col[some]].T
                 mass[some] = (p @ of[k]) / p.sum(1, keepdims=True)
                 counts[some] = True
-            own, at = _flat(b.column("at"))
+            own, at = _places(b)
             who, cut = _flat(b.column("cut"))
             held_by, begin = (np.r_[0, np.cumsum(np.bincount(x, minlength=b.num_rows))] for x in (text, own))
             word = at + held_by[own]
