@@ -3,10 +3,10 @@
 import pytest
 from conftest import DATA, agrees
 
-from thesaurion.plans import catalogue, problems
+from thesaurion.plans import catalogue, files, problems
 
-QUERIES = problems.QUERIES | catalogue.QUERIES
-ORACLES = problems.ORACLES | catalogue.ORACLES
+QUERIES = problems.QUERIES | catalogue.QUERIES | files.QUERIES
+ORACLES = problems.ORACLES | catalogue.ORACLES | files.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -156,3 +156,10 @@ def hashed_embedding(texts: DataFrame, text: str, dim: int = 64) -> DataFrame:
     norm = F.sqrt(F.aggregate(F.col("_raw"), F.lit(0.0), lambda a, x: a + x * x))
     out = texts.withColumn("_raw", raw).withColumn("_norm", norm)
     return out.withColumn("vector", F.transform("_raw", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0).cast("float"))).drop("_raw", "_norm")
+
+
+def search(vectors: DataFrame, queries: DataFrame, concepts: DataFrame, k: int) -> DataFrame:
+    """V-02: (query_id, rank, cosine, and the concept's columns): the k concepts nearest to each query vector, best first.
+    vectors: concept_id, vector; queries: query_id, vector. Vectors without a concept take their rank but give no row."""
+    ranked = vector_top_k(vectors, queries, k).withColumn("concept_id", F.col("concept_id").cast("string"))
+    return ranked.select("query_id", "rank", "cosine", "concept_id").join(concepts, "concept_id")
