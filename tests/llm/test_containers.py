@@ -61,3 +61,12 @@ def test_sizes_round_trip(spark):
     for i, t in enumerate(texts):
         tokens = own.encode_ordinary(t or "")
         assert own.decode(tokens) == (t or "") and got[str(i)] == len(tokens)
+
+
+def test_a_run_of_blank_texts_fills_no_container_without_end(monkeypatch):
+    from thesaurion.llm import containers
+
+    monkeypatch.setattr(containers, "ITEMS", 50)
+    bins = containers.BestFit(10, 4)
+    closed = [one for i in range(220) for one in bins.add(i, 0)]
+    assert [len(one) for one in closed] == [50] * 4 and sum(map(len, bins.rest())) == 20

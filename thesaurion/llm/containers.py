@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from thesaurion.runtime import Scratch
 
 OPEN = 64  #: containers open at once in a task
+ITEMS = 100_000  #: items of a container at most; only blank texts come near it
 FAN_IN = 32  #: tasks whose open containers one task of the next round takes over
 #: Fixed value: the published splitting pattern of the 50k byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -73,7 +74,7 @@ class BestFit:
         one = self._take(free) if room else []
         one.append(item)
         closed = []
-        if free == size and size:
+        if (free == size and size) or len(one) >= ITEMS:
             closed.append(one)
         else:
             if self.open == self.most:
@@ -90,7 +91,7 @@ def pack(items: DataFrame, capacity: int, scratch: Scratch, most: int = OPEN) ->
 
     An item longer than the capacity is cut into pieces of the capacity, each a container of its own, and a last piece
     that is packed like any other item. Items of size 0 (blank or null texts) get a place too; a negative or null size
-    counts as 0. Repeated rows and null ids are items in their own right. No items give no rows."""
+    counts as 0; so that a run of them fills no container without end, one closes at ITEMS items. Repeated rows and null ids are items in their own right. No items give no rows."""
     schema = "doc_id string, piece int, start int, n_tokens int, container_id string"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thesaurion.llm.components import groups
 from thesaurion.llm.containers import pack, sizes
-from thesaurion.llm.leaks import LEAST, leaks
+from thesaurion.llm.leaks import LEAST, MATCH, leaks
 from thesaurion.llm.subjects import SHARE, subject_shares
 from thesaurion.llm.topn import top_n
 from thesaurion.llm.vectors import similar, usable
@@ -67,7 +67,9 @@ def _leaks(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).where(F.col("longest") >= LEAST).select("doc_id", "item_id")
+    """Pairs whose alignment scores LEAST matches or more; of these the exact check keeps those with LEAST in a row."""
+    found = _leaks(spark, sf_dir).where(F.col("score") >= MATCH * LEAST)
+    return found.where(F.col("longest") >= LEAST).select("doc_id", "item_id")
 
 
 def p9_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
