@@ -222,9 +222,12 @@ def canonical_relations(relations: DataFrame) -> DataFrame:
 
 
 def omop_links(rel: DataFrame, relations: DataFrame) -> DataFrame:
-    """F-14: canonical direction, then our kinds; others are ohdsi_relationship with the relation as key."""
+    """F-14: canonical direction, then our kinds; others are ohdsi_relationship with the relation as key. An unknown relation
+    is an error."""
     known = F.broadcast(canonical_relations(relations.withColumn("place", F.monotonically_increasing_id())))
-    rows = rel.join(known, "relationship_id")
+    rows = rel.join(known, "relationship_id", "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown relationship "), F.coalesce("relationship_id", F.lit("null"))))
+    rows = rows.withColumn("canonical_id", F.coalesce("canonical_id", unknown.cast("string")))
     a, b = (F.when(F.col("forward"), F.col(x)).otherwise(F.col(y)) for x, y in (("concept_id_1", "concept_id_2"), ("concept_id_2", "concept_id_1")))
     rows = rows.select(a.alias("a"), b.alias("b"), F.col("canonical_id").alias("r"))
     kind = F.create_map(*[F.lit(x) for k, (v, _) in OMOP_RELATIONS.items() for x in (k, v)])
