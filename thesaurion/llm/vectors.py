@@ -144,6 +144,7 @@ class Graph:
         m, n = len(q), len(self.x)
         entry = np.broadcast_to(self.entry, (m, len(self.entry))) if start is None else start[:, None]
         seen = np.zeros(m * (n + 1), bool)  # one row of flags per query; n stands for no vector
+        stamp = np.empty(m * (n + 1), np.int32)  # which of equal ones is kept
         base = (np.arange(m) * (n + 1))[:, None]
         seen[base[:, 0] + n] = True
         seen[base + entry] = True
@@ -170,12 +171,16 @@ class Graph:
             node = np.where(fresh[row, pick], ids[row, pick], n)
             fresh[row, pick] = False
             near = self.links[node].reshape(len(live), -1)
-            code = (base[live] + near).ravel()
-            code = np.unique(code[~seen[code]])
+            code = base[live] + near
+            new = ~seen[code]
+            count = new.sum(1)
+            code, at = code[new], near[new]
+            nth = np.arange(len(code), dtype=np.int32)
+            stamp[code] = nth
+            once = stamp[code] == nth
             seen[code] = True
-            r, at = np.divmod(code, n + 1)
-            got = np.einsum("kd,kd->k", q[r], self.x[at])
-            r = np.searchsorted(live, r)
+            r, at = np.repeat(np.arange(len(live)), count)[once], at[once]
+            got = np.einsum("kd,kd->k", np.take(q, live[r], 0), np.take(self.x, at, 0))
             good = got > sims.min(1)[r]
             r, at, got = r[good], at[good], got[good]
             if not len(r):
