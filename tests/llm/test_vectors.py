@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -33,6 +35,48 @@ def test_graph_recall():
     assert g.deg.max() <= v.DEGREE + v.SLACK
 
 
+def plain_search(g, q, beam):
+    """Ids of the beam for one query, vector by vector."""
+    met, sim = set(g.entry.tolist()), g.x.astype(np.float64) @ q
+    kept, fresh = sorted(met, key=lambda i: -sim[i])[:beam], set(met)
+    while now := [i for i in kept if i in fresh][: v.WIDTH]:
+        fresh -= set(now)
+        new = {j for i in now for j in g.links[i].tolist() if j < len(g.x)} - met
+        met |= new
+        fresh |= new
+        kept = sorted([*kept, *new], key=lambda i: -sim[i])[:beam]
+    return kept
+
+
+def test_search_takes_similarities_by_block(monkeypatch):
+    """Same beams as following the links one by one, but no vector is read link by link: that took most of p4_found."""
+    x = cloud(1500, seed=9)
+    g, q = v.Graph(v.unit(x)), v.unit(cloud(40, seed=9) + 0.1)
+    monkeypatch.setattr(np, "einsum", lambda *_, **__: pytest.fail("similarities of single links"))
+    for beam in (3, 24, 64):
+        ids, sims = g.search(q, beam)
+        assert [set(i) for i in ids.tolist()] == [set(plain_search(g, one, beam)) for one in q]  # rounding may swap equal ones
+        assert (np.diff(sims) <= 0).all() and np.allclose(sims, np.take_along_axis(q @ g.x.T, ids, 1), atol=1e-6)
+    monkeypatch.setattr(v, "TABLE", 7 * 1501)  # blocks of seven queries and a rest
+    again, _ = g.search(q, 64)
+    near, _ = g.search(g.x[:40], 24, np.arange(40))
+    assert [set(i) for i in again.tolist()] == [set(i) for i in ids.tolist()] and near[:, 0].tolist() == list(range(40))
+
+
+def test_memory_of_a_search_is_bounded():
+    """Whatever the size of the shard: flags of all its vectors for all queries would be 250 MB here."""
+    n, rng = 100_000, np.random.default_rng(2)
+    g = v.Graph.__new__(v.Graph)
+    g.x, g.entry, g.done = v.unit(rng.normal(size=(n, 4))), np.arange(16, dtype=np.int32), n
+    g.links = rng.integers(n, size=(n + 1, v.DEGREE + v.SLACK), dtype=np.int32)
+    g.links[n] = n
+    tracemalloc.start()
+    ids, _ = g.search(g.x[:512], 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.shape == (512, 24) and peak < 60e6
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 40])
 def test_small_graphs_are_exact(n):
     x = cloud(n)

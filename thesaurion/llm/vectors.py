@@ -35,6 +35,7 @@ ALPHA = 1.2  #: relaxation of the pruning rule
 MATES = 10  #: vectors inserted at the same time that are proposed besides those of the graph
 WIDTH = 4  #: vectors of the beam that are expanded together
 PROBES, GAP = 4, 0.2  #: the nearest shards asked for a query, those whose centroid is at most so much less similar than the nearest
+TABLE = 1 << 22  #: similarities held at a time while searching; 512 queries of a shard of up to 8,191
 _BATCH = 512
 
 
@@ -108,6 +109,7 @@ class Graph:
         self.links = np.full((n + 1, DEGREE + SLACK), n, np.int32)  # n stands for no link; row n has none
         self.deg = np.zeros(n, np.int32)
         self.entry = np.zeros(1, np.int32)
+        self.done = n  # vectors inserted so far, from the first
         self._build()
 
     def _build(self) -> None:
@@ -122,11 +124,13 @@ class Graph:
             # entries spread over what is there, so that no topic is out of reach
             self.entry = np.unique(np.linspace(0, done - 1, min(done, 16)).astype(np.int32))
             batch = np.arange(done, min(n, done + max(BEAM, min(done, _BATCH))))
+            self.done = done
             ids, sims = self._with_mates(batch, *self.search(self.x[batch], BEAM))
             self._connect(batch, ids, sims)
             self._backward(batch)
             done = batch[-1] + 1
         self.entry = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int32))
+        self.done = n
 
     def _with_mates(self, batch: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proposals from the graph and from vectors inserted at the same time, best first."""
@@ -142,16 +146,23 @@ class Graph:
     def search(self, q: np.ndarray, beam: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Beam search for each row of q: (ids, sims) of the beam, best first; id -1 where fewer were met."""
         m, n = len(q), len(self.x)
+        most = max(1, TABLE // (n + 1))
+        if m > most:
+            parts = [self.search(q[lo : lo + most], beam, None if start is None else start[lo : lo + most]) for lo in range(0, m, most)]
+            return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
         entry = np.broadcast_to(self.entry, (m, len(self.entry))) if start is None else start[:, None]
-        seen = np.zeros(m * (n + 1), bool)  # one row of flags per query; n stands for no vector
-        stamp = np.empty(m * (n + 1), np.int32)  # which of equal ones is kept
+        # one matrix product gives what following the links would read vector by vector, about 500 a query; a place that was
+        # met, and n, which stands for no vector, get less than any similarity
+        table = np.empty((m, n + 1), np.float32)
+        np.matmul(q, self.x[: self.done].T, out=table[:, : self.done])
+        table[:, n] = -3
+        left = table.ravel()
         base = (np.arange(m) * (n + 1))[:, None]
-        seen[base[:, 0] + n] = True
-        seen[base + entry] = True
         ids = np.full((m, beam), n, np.int32)
         sims = np.full((m, beam), -2, np.float32)
         first = min(beam, entry.shape[1])
-        s = np.einsum("md,med->me", q, self.x[entry])
+        s = left[base + entry]
+        left[base + entry] = -3
         top = np.argsort(-s, 1)[:, :first]
         ids[:, :first], sims[:, :first] = np.take_along_axis(entry, top, 1), np.take_along_axis(s, top, 1)
         fresh = ids < n
@@ -168,21 +179,19 @@ class Graph:
                 ids, sims = ids.copy(), sims.copy()
             row = np.arange(len(live))[:, None]
             pick = np.argpartition(np.where(fresh, -sims, 3), WIDTH - 1, 1)[:, :WIDTH] if beam > WIDTH else np.broadcast_to(np.arange(beam), (len(live), beam))
-            node = np.where(fresh[row, pick], ids[row, pick], n)
-            fresh[row, pick] = False
-            near = self.links[node].reshape(len(live), -1)
+            pick = pick + row * beam
+            node = np.where(np.take(fresh, pick), np.take(ids, pick), n)
+            fresh.ravel()[pick] = False
+            near = np.take(self.links, node, 0).reshape(len(live), -1)
             code = base[live] + near
-            new = ~seen[code]
-            count = new.sum(1)
-            code, at = code[new], near[new]
-            nth = np.arange(len(code), dtype=np.int32)
-            stamp[code] = nth
-            once = stamp[code] == nth
-            seen[code] = True
-            r, at = np.repeat(np.arange(len(live)), count)[once], at[once]
-            got = np.einsum("kd,kd->k", np.take(q, live[r], 0), np.take(self.x, at, 0))
-            good = got > sims.min(1)[r]
-            r, at, got = r[good], at[good], got[good]
+            got = np.take(left, code)
+            # the worst of a beam only gets better, so what is no better now never enters and need not be marked
+            good = np.flatnonzero(got > sims.min(1)[:, None])
+            code, at, got = code.ravel()[good], near.ravel()[good], got.ravel()[good]
+            mark = -3 - np.arange(len(good), dtype=np.float32)
+            left[code] = mark
+            once = left[code] == mark  # one of equal ones is kept
+            r, at, got = good[once] // near.shape[1], at[once], got[once]
             if not len(r):
                 continue
             count = np.bincount(r, minlength=len(live))
@@ -192,9 +201,10 @@ class Graph:
             all_s = np.full((len(live), width), -2, np.float32)
             all_f = np.zeros((len(live), width), bool)
             all_i[:, :beam], all_s[:, :beam], all_f[:, :beam] = ids, sims, fresh
-            all_i[r, place], all_s[r, place], all_f[r, place] = at, got, True
-            top = np.argpartition(-all_s, beam - 1, 1)[:, :beam]
-            ids, sims, fresh = all_i[row, top], all_s[row, top], all_f[row, top]
+            place += r * width
+            all_i.ravel()[place], all_s.ravel()[place], all_f.ravel()[place] = at, got, True
+            top = np.argpartition(-all_s, beam - 1, 1)[:, :beam] + row * width
+            ids, sims, fresh = np.take(all_i, top), np.take(all_s, top), np.take(all_f, top)
         order = np.argsort(-out_s, 1)
         ids, sims = np.take_along_axis(out_i, order, 1), np.take_along_axis(out_s, order, 1)
         return np.where(ids == n, -1, ids), sims
@@ -206,8 +216,11 @@ class Graph:
         if not k:
             return ids, np.zeros((m, 0), bool)
         v = self.x[np.maximum(ids, 0)]
-        far = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1))
-        own = 2 - 2 * sims
+        far = np.matmul(v, v.transpose(0, 2, 1))
+        far *= -2
+        far += 2
+        far *= ALPHA**2
+        reached = far <= (2 - 2 * sims)[:, None]
         alive = ids >= 0
         kept = np.zeros((m, k), bool)
         left = np.full(m, DEGREE)
@@ -215,7 +228,7 @@ class Graph:
             take = alive[:, j] & (left > 0)
             kept[:, j] = take
             left -= take
-            alive &= ~(take[:, None] & (ALPHA**2 * far[:, j] <= own))
+            alive &= ~(take[:, None] & reached[:, j])
         return ids, kept
 
     def _connect(self, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
