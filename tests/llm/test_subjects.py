@@ -129,3 +129,68 @@ def test_packed_words_come_back():
 
 def test_digamma():
     assert np.allclose(m._digamma(np.array([1.0, 0.5, 10.0])), [-0.5772156649, -1.9635100260, 2.2517525891])
+
+
+def test_piles_give_the_topics_of_each_document_by_itself():
+    """Documents of 0 to 300 of 2,000 columns: what is worked on are their own words and a few places to fill up, not all
+    common columns of each."""
+    rng = np.random.default_rng(5)
+    docs, columns, topics = 400, 2000, 6
+    size = np.r_[0, 300, rng.integers(0, 40, docs - 2)]
+    text, lang = np.repeat(np.arange(docs), size), rng.integers(0, 2, docs)
+    col = np.concatenate([rng.choice(columns, s, replace=False) for s in size])
+    col[rng.random(len(col)) < 0.2] = -1
+    n = rng.integers(1, 9, len(col))
+    weights = rng.gamma(0.3, 1, (columns, topics)).astype(np.float32) + 1e-4
+    seen, sums, held, own = set(), np.zeros((columns, topics)), 0, 0
+    theta = np.zeros((docs, topics), np.float32)
+    for k, some, piles in m._stacks(lang, text, col, n, 2):
+        assert (lang[text[some]] == k).all() and (col[some] >= 0).all()
+        value = np.zeros(len(some), np.float32)
+        for who, at, real, c, count in piles:
+            held, own = held + at.size, own + real.sum()
+            assert not seen & set(who.tolist())
+            seen |= set(who.tolist())
+            rare = weights.take(c, 0)
+            theta[who] = m.infer(rare, count)
+            value[at[real]] = m._ratio(rare, count, theta[who])[real]
+        m._column_sums(col[some], text[some], value, theta, sums)
+    assert own == (col >= 0).sum() and held < 1.5 * own + m.PILE and held < docs * columns / 20
+    assert seen == set(text[col >= 0].tolist())
+    want = np.zeros((columns, topics))
+    for d in seen:
+        mine = (text == d) & (col >= 0)
+        w, count = weights[col[mine]].astype(float), n[mine]
+        gamma = np.ones(topics) + count.sum() / topics
+        for _ in range(m.INNER):
+            t = np.exp(m._digamma(gamma))
+            gamma = m.PRIOR + t * ((count / (w @ t)) @ w)
+        t = np.exp(m._digamma(gamma))
+        assert np.allclose(theta[d] / theta[d].sum(), t / t.sum(), rtol=1e-3, atol=1e-5)
+        want[col[mine]] += (count / (w @ t))[:, None] * t
+    assert np.allclose(sums, want, rtol=1e-3, atol=1e-3)
+
+
+def test_words_are_looked_up_in_all_languages_at_once():
+    rng = np.random.default_rng(6)
+    pool = np.unique(np.r_[rng.integers(0, 1 << 32, 3000), rng.integers(5 << 20, 6 << 20, 200), 1, 0xFFFFFFFF].astype(np.uint32) | np.uint32(1))
+    own = [(np.sort(rng.choice(pool, s, replace=False)), rng.permutation(s)) for s in (700, 90)]
+    telling = np.sort(rng.choice(pool, 300, replace=False))
+    langs = m.Languages(telling, rng.normal(0, 1, (300, 2)), np.log([0.7, 0.3]), own)
+    used = [rng.random(w) < 0.7 for w in langs.widths()]
+    text = np.sort(rng.integers(0, 50, 5000))
+    word = np.where(rng.random(5000) < 0.1, np.uint32(10), rng.choice(np.r_[pool, np.uint32(3)], 5000)).astype(np.uint32)
+    score = np.log([[0.7, 0.3]] * 50)
+    place = {int(w): i for i, w in enumerate(telling)}
+    for t, w in zip(text, word):
+        score[t] += langs.speaks[place[int(w)]] if int(w) in place else 0
+    tables = [dict(zip(o.tolist(), p.tolist())) for o, p in own]
+    lang, col = m.Vocabulary(langs).columns(text, word, 50)
+    assert lang.tolist() == score.argmax(1).tolist()
+    for t, w, c in zip(text, word.tolist(), col.tolist()):
+        table = tables[lang[t]]
+        assert c == (-1 if w % 2 == 0 else table[w] if w in table else len(table) + ((w * 0x9E3779B1 % (1 << 32)) >> 15) % m.BUCKETS)
+    counting = m.Vocabulary(langs, used).columns(text, word, 50)[1].tolist()
+    assert counting == [c if c >= 0 and used[lang[t]][c] else -1 for t, c in zip(text, col)]
+    none = m.Languages(np.array([], np.uint32), np.zeros((0, 1)), np.zeros(1), [(np.array([], np.uint32), np.array([], np.int64))])
+    assert (m.Vocabulary(none).columns(text, word, 50)[1][word % 2 == 1] < m.BUCKETS).all()

@@ -32,7 +32,7 @@ ROUNDS = 12  #: rounds of fitting at most
 STILL = 0.02  #: the share of the topics' weight that may still move when fitting ends
 INNER = 6  #: inner rounds per document
 OWN_COLUMN = 0.002  #: share of a language's documents that hold a word with a column of its own
-COMMON = 0.01  #: share of those that hold a word whose counts are kept dense, and of a tag's that hold a telling word
+COMMON = 0.01  #: share of those that hold a word with one of the first columns, and of a tag's that hold a telling word
 BUCKETS = 1 << 12  #: columns that the rarer words share
 FLAT = 0.25  #: beyond this share a word counts only if the labelled examples that hold it speak for one subject
 LEAST_DOCS = 3
@@ -44,88 +44,95 @@ WEIGHT = 0.5  #: of the topical words of a sentence that must belong to the subj
 ETA, PRIOR = 0.02, 0.1
 DRAW = 20  #: counts a column is given besides its own, parted like all words among the topics
 TEST_TRIPLES = 4_000_000  #: word triples of test items that a task holds at once
-_DOCS = 1000  #: documents inferred together
+PILE = 16_384  #: words of documents inferred together, about
 
 
 @dataclass
 class Model:
     """Topics of one language: lam (topic x column) are the variational word counts, owner the subject of each topic or
-    -1, used the columns that count; the first `common` columns hold the words of most documents."""
+    -1, used the columns that count."""
 
-    common: int
     lam: np.ndarray
     owner: np.ndarray
     used: np.ndarray
 
     def weights(self) -> np.ndarray:
-        return np.exp(_digamma(self.lam) - _digamma(self.lam.sum(1, keepdims=True))).astype(np.float32)
+        """(column x topic)"""
+        return np.ascontiguousarray(np.exp(_digamma(self.lam) - _digamma(self.lam.sum(1, keepdims=True))).astype(np.float32).T)
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
     """Six steps of the recurrence, then the asymptotic series."""
     x = np.asarray(x)
-    y = x + 6
-    inv = 1 / (y * y)
-    shift = 1 / x
-    for i in range(1, 6):
-        shift += 1 / (x + i)
-    return np.log(y) - 0.5 / y - inv * (1 / 12 - inv * (1 / 120 - inv / 252)) - shift
-
-
-class Block:
-    """Word counts of some documents: dense in the common columns, the rest as (row, column, count)."""
-
-    def __init__(self, row: np.ndarray, col: np.ndarray, count: np.ndarray, docs: int, own: int, used: np.ndarray):
-        keep = used[col]
-        row, col, count = row[keep], col[keep], count[keep].astype(np.float32)
-        wide = col < own
-        self.own = own
-        self.dense = np.zeros((docs, own), np.float32)
-        self.dense[row[wide], col[wide]] = count[wide]
-        self.room = np.empty_like(self.dense)
-        thin = np.flatnonzero(~wide)
-        self.row, self.col, self.count = row[thin], col[thin], count[thin]
-        self.first = np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1]]) if len(self.row) else np.array([], int)
-        self.size = np.bincount(row, weights=count, minlength=docs).astype(np.float32)
-
-    def ratio(self, theta: np.ndarray, wide: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts over their expectation, of the dense and the sparse part; the dense one lasts until the next call.
-        wide: the weights of the common columns, rare: those at the sparse entries. Both are above 0, as is theta."""
-        np.matmul(theta, wide, out=self.room)
-        np.divide(self.dense, self.room, out=self.room)
-        return self.room, self.count / np.einsum("nk,nk->n", np.take(theta, self.row, 0), rare)
-
-    def infer(self, weights: np.ndarray, inner: int = INNER) -> np.ndarray:
-        """Variational topic weights of each document."""
-        k = len(weights)
-        rare = np.ascontiguousarray(weights[:, self.col].T)
-        wide = np.ascontiguousarray(weights[:, : self.own])
-        gamma = np.ones((len(self.size), k), np.float32) + self.size[:, None] / k
-        for _ in range(inner):
-            theta = _mean(gamma)
-            dense, thin = self.ratio(theta, wide, rare)
-            share = dense @ wide.T
-            if len(self.first):
-                share[self.row[self.first]] += np.add.reduceat(thin[:, None] * rare, self.first)
-            gamma = PRIOR + theta * share
-        return _mean(gamma)
-
-    def expected(self, theta: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected counts per topic and column."""
-        dense, thin = self.ratio(theta, np.ascontiguousarray(weights[:, : self.own]), np.ascontiguousarray(weights[:, self.col].T))
-        out = np.zeros(weights.shape, np.float64)
-        out[:, : self.own] = (theta.T @ dense) * weights[:, : self.own]
-        order = np.argsort(self.col, kind="stable")
-        if len(order):
-            col = self.col[order]
-            first = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
-            sums = np.add.reduceat(thin[order, None] * theta[self.row[order]], first)
-            out[:, col[first]] = sums.T * weights[:, col[first]]
-        return out
+    y = 1 / (x + 6)
+    inv = y * y
+    z = x * (x + 5)  # the steps two by two, from both ends: 1 / x + 1 / (x + 5) and so on
+    shift = 1 / z + 1 / (z + 4) + 1 / (z + 6)
+    return -np.log(y) - 0.5 * y - inv * (1 / 12 - inv * (1 / 120 - inv / 252)) - (2 * x + 5) * shift
+
+
+def _piles(per: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of per[i] entries each, laid end to end, in piles of rows about as long: (rows, the places of their entries,
+    which of these are real). Shorter rows are filled up; rows without entries are left out."""
+    begin = np.cumsum(per) - per
+    order = np.argsort(per, kind="stable")
+    hi, least = len(per), int(np.count_nonzero(per == 0))
+    while hi > least:
+        width = per[order[hi - 1]]
+        lo = max(hi - max(PILE // width, 1), least)
+        rows = order[lo:hi]
+        step = np.arange(width)
+        real = step < per[rows, None]
+        yield rows, np.where(real, begin[rows, None] + step, begin[rows, None]), real
+        hi = lo
+
+
+def _stacks(lang: np.ndarray, text: np.ndarray, col: np.ndarray, n: np.ndarray, languages: int) -> Iterator[tuple[int, np.ndarray, list[tuple]]]:
+    """(language, its entries, and of these in piles of documents: documents, places among the entries, which are real,
+    columns, counts) of a batch; entries whose column is -1 are left out."""
+    of = lang[text] if languages > 1 else np.zeros(len(text), np.int64)
+    for k in range(languages):
+        some = np.flatnonzero((of == k) & (col >= 0))
+        c, count = col[some], n[some].astype(np.float32)
+        piles = _piles(np.bincount(text[some], minlength=len(lang)))
+        yield k, some, [(docs, at, real, c[at], count[at] * real) for docs, at, real in piles]
+
+
+def _ratio(rare: np.ndarray, count: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Counts over their expectation. rare: the weights of each document's columns, above 0, as is theta."""
+    return count / np.matmul(rare, theta[:, :, None])[:, :, 0]
+
+
+def infer(rare: np.ndarray, count: np.ndarray, inner: int = INNER) -> np.ndarray:
+    """Variational topic weights of each document of a pile."""
+    topics = rare.shape[2]
+    gamma = np.ones((len(count), topics), np.float32) + count.sum(1, keepdims=True) / np.float32(topics)
+    for _ in range(inner):
+        theta = _mean(gamma)
+        gamma = PRIOR + theta * np.matmul(_ratio(rare, count, theta)[:, None], rare)[:, 0]
+    return _mean(gamma)
+
+
+def _column_sums(col: np.ndarray, row: np.ndarray, value: np.ndarray, theta: np.ndarray, out: np.ndarray) -> None:
+    """Adds to each column's sums (column x topic) its values times the weights of the documents they stand in."""
+    order = np.argsort(col.astype(np.min_scalar_type(len(out))), kind="stable")  # small integers are sorted by their digits
+    row, value = row[order], value[order]
+    for cols, at, real in _piles(np.bincount(col, minlength=len(out))):
+        out[cols] += np.matmul((value[at] * real)[:, None], theta.take(row[at], 0))[:, 0]
 
 
 def _mean(gamma: np.ndarray) -> np.ndarray:
-    return np.exp(_digamma(gamma) - _digamma(gamma.sum(1, keepdims=True))).astype(np.float32)
+    """The exponential of the digamma function, without its logarithm: topic weights up to a factor for each document,
+    which leaves what is made of them as it is."""
+    y = 1 / (gamma + 6)
+    inv = y * y
+    z = gamma * (gamma + 5)
+    less = 1 / z
+    less += 1 / (z + 4)
+    less += 1 / (z + 6)
+    less *= 2 * gamma + 5
+    less += 0.5 * y + inv * (1 / 12 - inv * (1 / 120 - inv / 252))
+    return np.exp(-less) / y
 
 
 def _packs(values: np.ndarray, row: np.ndarray, rows: int, kind: type = np.int32) -> pa.Array:
@@ -292,37 +299,54 @@ class Languages:
     speaks: np.ndarray
     prior: np.ndarray
     own: list[tuple[np.ndarray, np.ndarray]]
-    common: list[int]
-
-    def of(self, text: np.ndarray, word: np.ndarray, texts: int) -> np.ndarray:
-        """The language of each text from its distinct words."""
-        if len(self.prior) == 1:
-            return np.zeros(texts, np.int64)
-        at, known = _place(self.words, word)
-        score = [p + np.bincount(text[known], weights=self.speaks[at[known], i], minlength=texts) for i, p in enumerate(self.prior)]
-        return np.argmax(score, 0)
-
-    def columns(self, text: np.ndarray, word: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """The column of each word in the language of its text; -1 for numbers."""
-        out = np.full(len(word), -1, np.int64)
-        for k, (own, place) in enumerate(self.own):
-            mine = np.flatnonzero((lang[text] == k) & ((word & 1) == 1))
-            w = word[mine]
-            at, known = _place(own, w)
-            out[mine] = len(own) + ((w * np.uint32(0x9E3779B1)) >> np.uint32(15)).astype(np.int64) % BUCKETS
-            out[mine[known]] = place[at[known]]
-        return out
 
     def widths(self) -> list[int]:
         return [len(own) + BUCKETS for own, _ in self.own]
 
 
-def _place(ordered: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the ordered values, whether it is there)."""
-    if not len(ordered):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)
-    return at, ordered[at] == asked
+class Vocabulary:
+    """The words of all languages, looked up at once. The last place is for words that are not there. used: for each
+    language the columns that count, all if it is not given."""
+
+    def __init__(self, langs: Languages, used: list[np.ndarray] | None = None):
+        self.used = None if used is None else np.concatenate(used)
+        self.begin = np.cumsum(langs.widths()) - langs.widths()
+        self.prior, self.own = langs.prior, np.array([len(own) for own, _ in langs.own])
+        words = np.unique(np.concatenate([langs.words, *(own for own, _ in langs.own)]).astype(np.uint32))
+        self.last = len(words)
+        self.words = np.r_[words, np.uint32(0xFFFFFFFF)]
+        bits = len(words).bit_length() + 3
+        self.shift = np.uint32(32 - bits)
+        size = np.bincount(words >> self.shift, minlength=1 << bits)
+        self.first, self.most = np.cumsum(size) - size, int(size.max())
+        self.speaks = np.zeros((len(self.prior), len(words) + 1))
+        self.speaks[:, np.searchsorted(words, langs.words)] = langs.speaks.T
+        self.column = np.full((len(langs.own), len(words) + 1), -1)
+        for k, (own, place) in enumerate(langs.own):
+            self.column[k, np.searchsorted(words, own)] = place
+
+    def places(self, word: np.ndarray) -> np.ndarray:
+        """Words with the same leading bits stand side by side, `most` at most."""
+        at = self.first[word >> self.shift]
+        for _ in range(self.most):
+            at += self.words[at] < word
+        at[self.words[at] != word] = self.last
+        return at
+
+    def columns(self, text: np.ndarray, word: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the language of each text, told from its distinct words, the column of each of these in it; -1 for numbers and
+        columns that don't count)."""
+        at, lang = self.places(word), np.zeros(texts, np.int64)
+        if len(self.prior) > 1:
+            lang = np.argmax([p + np.bincount(text, weights=s[at], minlength=texts) for p, s in zip(self.prior, self.speaks)], 0)
+        of = lang[text]
+        out = self.column[of, at]
+        rare = np.flatnonzero(out < 0)
+        out[rare] = self.own[of[rare]] + ((word[rare] * np.uint32(0x9E3779B1)) >> np.uint32(15)).astype(np.int64) % BUCKETS
+        if self.used is not None:
+            out[~self.used[self.begin[of] + out]] = -1
+        out[(word & 1) == 0] = -1
+        return lang, out
 
 
 def _hashes(rows: list) -> np.ndarray:
@@ -338,7 +362,7 @@ def languages(counted: DataFrame) -> Languages:
     every = sum(n for _, n in total)
     total = [(t, n) for t, n in total if n >= max(TAG_DOCS, TAG_SHARE * every)] or total[:1]
     if not total:
-        return Languages(np.array([], np.uint32), np.zeros((0, 1)), np.zeros(1), [(np.array([], np.uint32), np.array([], np.int64))], [0])
+        return Languages(np.array([], np.uint32), np.zeros((0, 1)), np.zeros(1), [(np.array([], np.uint32), np.array([], np.int64))])
     least = spark.createDataFrame([(t, i, float(max(LEAST_DOCS, COMMON * n))) for i, (t, n) in enumerate(total)], "tag string, i int, least double")
     rows = counted.where("word <> 0").join(F.broadcast(least), "tag").where("n >= least").select("i", "word", "n").collect()
     words = np.unique(_hashes(rows))
@@ -364,35 +388,35 @@ def languages(counted: DataFrame) -> Languages:
     by: list[list] = [[] for _ in lead]
     for r in held.where("n >= least").collect():
         by[r["k"]].append(r)
-    own, common = [], []
+    own = []
     for k, some in enumerate(by):
         some.sort(key=lambda r: r["word"] & 0xFFFFFFFF)
         wide = np.array([r["n"] >= COMMON * docs[k] for r in some], bool)
         place = np.where(wide, np.cumsum(wide) - 1, wide.sum() + np.cumsum(~wide) - 1)
         own.append((_hashes(some), place))
-        common.append(int(wide.sum()))
-    return Languages(words, np.log(share + 1e-12), np.log(docs / docs.sum()), own, common)
+    return Languages(words, np.log(share + 1e-12), np.log(docs / docs.sum()), own)
 
 
-def _columns(b: pa.RecordBatch, langs: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _columns(b: pa.RecordBatch, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language of each document, document and column of each of its distinct words) of a batch of `cleaned`."""
     text, word = _flat(b.column("word"))
-    word = word.astype(np.int32).view(np.uint32)
-    lang = langs.of(text, word, b.num_rows)
-    return lang, text, langs.columns(text, word, lang)
+    lang, col = known.columns(text, word.astype(np.int32).view(np.uint32), b.num_rows)
+    return lang, text, col
 
 
-def bags(clean: DataFrame, langs: Languages) -> DataFrame:
-    """(doc_id, lang, col, n): the columns of each document's words and their counts; numbers are left out."""
+def bags(clean: DataFrame, langs: Languages, models: list[Model]) -> DataFrame:
+    """(lang, col, n): those columns of each document's words that count, and the words' counts; numbers are left out."""
+    used = [m.used for m in models]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(langs, used)
         for b in parts:
-            lang, text, col = _columns(b, langs)
+            lang, text, col = _columns(b, known)
             n = _flat(b.column("n"))[1]
             real = col >= 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang.astype(np.int32)), _packs(col[real], text[real], b.num_rows), _packs(n[real], text[real], b.num_rows)], names=["doc_id", "lang", "col", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), _packs(col[real], text[real], b.num_rows), _packs(n[real], text[real], b.num_rows)], names=["lang", "col", "n"])
 
-    return clean.select("doc_id", "word", "n").mapInArrow(run, "doc_id long, lang int, col binary, n binary")
+    return clean.select("word", "n").mapInArrow(run, "lang int, col binary, n binary")
 
 
 _ROWS = "lang int, topic int, row binary"
@@ -420,65 +444,61 @@ def _summed(parts: DataFrame, shapes: list[tuple[int, int]]) -> list[np.ndarray]
     return out
 
 
-def examples(bagged: DataFrame, known: DataFrame, widths: list[int], subjects: int) -> list[np.ndarray]:
+def examples(clean: DataFrame, known: DataFrame, langs: Languages, subjects: int) -> list[np.ndarray]:
     """Per language, (subject, and last all documents) x (1 + columns): documents, and those of them that hold each column."""
+    widths = langs.widths()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((subjects + 1, w + 1)) for w in widths]
+        total, words = [np.zeros((subjects + 1, w + 1)) for w in widths], Vocabulary(langs)
         for b in parts:
-            lang = b.column("lang").to_numpy(zero_copy_only=False)
-            text, col = _flat(b.column("col"))
+            lang, text, col = _columns(b, words)
+            real = np.flatnonzero(col >= 0)
+            text, col = text[real], col[real]
             who, own = _flat(b.column("own"))
+            shown = np.zeros(len(lang), bool)
+            shown[who] = True
+            shown = np.flatnonzero(shown[text])
+            text_shown, col_shown, of = text[shown], col[shown], lang[text]
             for k, t in enumerate(total):
                 mine = lang == k
                 t[subjects, 0] += mine.sum()
-                t[subjects, 1:] += np.bincount(col[mine[text]], minlength=t.shape[1] - 1)
+                t[subjects, 1:] += np.bincount(col[of == k], minlength=t.shape[1] - 1)
                 for i in np.unique(own[mine[who]]):
                     some = np.zeros(len(lang), bool)
                     some[who[own == i]] = True
                     some &= mine
                     t[i, 0] += some.sum()
-                    t[i, 1:] += np.bincount(col[some[text]], minlength=t.shape[1] - 1)
+                    t[i, 1:] += np.bincount(col_shown[some[text_shown]], minlength=t.shape[1] - 1)
         yield _rows(total)
 
-    joined = bagged.select("doc_id", "lang", "col").join(known, "doc_id", "left").select("lang", "col", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
+    joined = clean.select("doc_id", "word").join(known, "doc_id", "left").select("word", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
     return _summed(joined.mapInArrow(run, _ROWS), [(subjects + 1, w + 1) for w in widths])
 
 
-def _blocks(lang: np.ndarray, text: np.ndarray, col: np.ndarray, n: np.ndarray, models: list[Model]) -> Iterator[tuple[int, np.ndarray, Block]]:
-    """(language, documents, counts) of the documents of a batch, at most _DOCS at a time; col may hold -1."""
-    for k, m in enumerate(models):
-        docs = np.flatnonzero(lang == k)
-        for lo in range(0, len(docs), _DOCS):
-            some = docs[lo : lo + _DOCS]
-            place = np.full(len(lang), -1)
-            place[some] = np.arange(len(some))
-            first, last = np.searchsorted(text, [some[0], some[-1] + 1])
-            row, c = place[text[first:last]], col[first:last]
-            mine = np.flatnonzero((row >= 0) & (c >= 0))
-            yield k, some, Block(row[mine], c[mine], n[first:last][mine], len(some), m.common, m.used)
-
-
 def fit(bagged: DataFrame, models: list[Model], rounds: int = ROUNDS, still: float = STILL) -> list[Model]:
     """Rounds of variational Bayes over all documents until less than `still` of the topics' weight moves. What a round
     sends to the driver is topics times columns."""
     sc = bagged.sparkSession.sparkContext
-    data = bagged.select("lang", "col", "n")
     for _ in range(rounds):
-        shared = sc.broadcast([(m, m.weights()) for m in models])
+        shared = sc.broadcast([m.weights() for m in models])
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = [m for m, _ in shared.value]
-            total = [np.zeros(w.shape) for _, w in shared.value]
+            weights = shared.value
+            total = [np.zeros(w.shape) for w in weights]
             for b in parts:
                 text, col = _flat(b.column("col"))
                 n = _flat(b.column("n"))[1]
-                for k, _, block in _blocks(b.column("lang").to_numpy(zero_copy_only=False), text, col, n, held):
-                    w = shared.value[k][1]
-                    total[k] += block.expected(block.infer(w), w)
-            yield _rows(total)
-
-        sums = _summed(data.mapInArrow(run, _ROWS), [m.lam.shape for m in models])
+                theta = np.zeros((b.num_rows, weights[0].shape[1]), np.float32)
+                for k, some, piles in _stacks(b.column("lang").to_numpy(zero_copy_only=False), text, col, n, len(weights)):
+                    value = np.zeros(len(some), np.float32)
+                    for docs, at, real, c, count in piles:
+                        rare = weights[k].take(c, 0)
+                        theta[docs] = own = infer(rare, count)
+                        value[at[real]] = _ratio(rare, count, own)[real]
+                    _column_sums(col[some], text[some], value, theta, total[k])
+            yield _rows([(t * w).T for t, w in zip(total, weights)])
+
+        sums = _summed(bagged.mapInArrow(run, _ROWS), [m.lam.shape for m in models])
         shared.unpersist()
         moved, weight = 0.0, 0.0
         for m, s in zip(models, sums):
@@ -509,7 +529,7 @@ def judged(model: Model, speak: np.ndarray, subjects: int) -> np.ndarray:
     return owner
 
 
-def start(common: int, seen: np.ndarray, seed: int = 3) -> tuple[Model, np.ndarray]:
+def start(seen: np.ndarray, seed: int = 3) -> tuple[Model, np.ndarray]:
     """First topics of a language from its word counts and labelled examples, and how much each column speaks for each
     subject: it speaks for the subjects in whose examples it is over-represented; columns that few examples hold are
     drawn towards their share of all documents and speak for nobody."""
@@ -525,45 +545,45 @@ def start(common: int, seen: np.ndarray, seed: int = 3) -> tuple[Model, np.ndarr
     for i in np.flatnonzero(base):
         lam[i] *= 0.05 + 4 * speak[:, i] ** 2
     used = (df > 0) & ((df <= FLAT * docs) | (speak.max(1) >= 0.5))
-    return Model(common, lam + ETA, np.full(subjects + FREE, -1), used), speak
+    return Model(lam + ETA, np.full(subjects + FREE, -1), used), speak
 
 
 def assign(clean: DataFrame, langs: Languages, models: list[Model], subjects: int) -> DataFrame:
     """(doc_id, subject number, share): the share of a document's sentences that treat of each subject, if any does."""
-    shared = clean.sparkSession.sparkContext.broadcast([(m, m.weights()) for m in models])
+    shared = clean.sparkSession.sparkContext.broadcast([(m.used, m.weights(), m.owner) for m in models])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [m for m, _ in shared.value]
-        of = []
-        for m in held:
-            of.append(np.zeros((len(m.owner), subjects), np.float32))
-            of[-1][np.flatnonzero(m.owner >= 0), m.owner[m.owner >= 0]] = 1
+        used, weights, owners = zip(*shared.value)
+        known, of = Vocabulary(langs, used), []
+        for owner in owners:
+            of.append(np.zeros((len(owner), subjects), np.float32))
+            of[-1][np.flatnonzero(owner >= 0), owner[owner >= 0]] = 1
         for b in parts:
-            lang, text, col = _columns(b, langs)
+            lang, text, col = _columns(b, known)
             n = _flat(b.column("n"))[1]
-            mass = np.zeros((len(col), subjects), np.float32)  # what the topics of a document say of each of its words
+            mass = np.zeros((subjects, len(col)), np.float32)  # what the topics of a document say of each of its words
             counts = np.zeros(len(col), bool)
-            for k, docs, block in _blocks(lang, text, col, n, held):
-                m, w = shared.value[k]
-                theta = block.infer(w)
-                place = np.full(b.num_rows, -1)
-                place[docs] = np.arange(len(docs))
-                first, last = np.searchsorted(text, [docs[0], docs[-1] + 1])
-                some = first + np.flatnonzero((place[text[first:last]] >= 0) & (col[first:last] >= 0))
-                some = some[m.used[col[some]]]
-                p = theta[place[text[some]]] * w[:, col[some]].T
-                mass[some] = (p @ of[k]) / p.sum(1, keepdims=True)
+            for k, some, piles in _stacks(lang, text, col, n, len(weights)):
                 counts[some] = True
+                for _, at, real, c, count in piles:
+                    rare = weights[k].take(c, 0)
+                    theta = infer(rare, count)
+                    said = np.matmul(rare, theta[:, :, None] * of[k]) / np.matmul(rare, theta[:, :, None])
+                    mass[:, some[at[real]]] = said[real].T
             own, at = _places(b)
             who, cut = _flat(b.column("cut"))
             held_by, begin = (np.r_[0, np.cumsum(np.bincount(x, minlength=b.num_rows))] for x in (text, own))
             word = at + held_by[own]
             share = np.zeros((b.num_rows, subjects))
-            if len(cut):
-                first = np.r_[0, (cut + begin[who])[:-1]]  # each sentence begins where the one before ends, also across documents
-                part, size = np.add.reduceat(mass[word], first), np.add.reduceat(counts[word].astype(np.int32), first)[:, None]
-                hit = (part >= WEIGHT * size - 1e-6) & (part >= WEIGHT - 1e-6)
-                np.add.at(share, who, hit)
+            # each sentence begins where the one before ends, also across documents; words that don't count are passed over
+            kept = counts[word]
+            word, end = word[kept], np.r_[0, np.cumsum(kept)][cut + begin[who]]
+            size = np.diff(end, prepend=0)
+            full = np.flatnonzero(size)
+            for i in range(subjects if len(full) else 0):
+                part = np.add.reduceat(mass[i][word], (end - size)[full])
+                hit = (part >= WEIGHT * size[full] - 1e-6) & (part >= WEIGHT - 1e-6)
+                share[:, i] = np.bincount(who[full[hit]], minlength=b.num_rows)
             share /= np.maximum(np.bincount(who, minlength=b.num_rows), 1)[:, None]
             r, c = np.nonzero(share)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(r)), pa.array(c.astype(np.int32)), pa.array(share[r, c])], names=["doc_id", "subject", "share"])
@@ -586,10 +606,9 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[str], scratch
     known = known.groupBy("doc_id").agg(F.collect_set(F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("s"))).alias("own"))
     clean = without_tests(tagged(docs), test_triples(items, scratch), scratch, most)
     langs = languages(scratch.cut(count_words(clean)))
-    bagged = scratch.cut(bags(clean, langs))
-    seen = examples(bagged, known, langs.widths(), len(areas))
-    begun = [start(c, s) for c, s in zip(langs.common, seen)]
-    models = fit(bagged, [m for m, _ in begun])
+    begun = [start(s) for s in examples(clean, known, langs, len(areas))]
+    models = [m for m, _ in begun]
+    fit(scratch.cut(bags(clean, langs, models)), models)
     for m, (_, speak) in zip(models, begun):
         m.owner = judged(m, speak, len(areas))
     names = F.element_at(F.array(*[F.lit(a) for a in areas]), F.col("subject") + 1)

@@ -34,9 +34,9 @@ def _classes() -> np.ndarray:
 
 
 def _kinds(code: np.ndarray) -> np.ndarray:
-    high = code > 0xFFFF
-    if not high.any():
+    if not len(code) or code.max() <= 0xFFFF:
         return _classes()[code]
+    high = code > 0xFFFF
     kind = _classes()[np.where(high, 0, code)]
     some, at = np.unique(code[high], return_inverse=True)
     kind[high] = np.array([_class(chr(i)) for i in some], np.uint8)[at]
@@ -76,6 +76,40 @@ def groups(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def _numbers(kind: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The words of digits only."""
+    some = np.flatnonzero(kind[begin] & _DIGIT)
+    size = (end - begin)[some]
+    first = np.cumsum(size) - size
+    digit = (kind[np.repeat(begin[some] - first, size) + np.arange(size.sum())] & _DIGIT) != 0
+    return some[np.logical_and.reduceat(digit, first)] if len(some) else some
+
+
+def _marks(kind: np.ndarray) -> np.ndarray:
+    """The end marks before white space, perhaps with closing quotes or brackets between."""
+    mark = np.flatnonzero((kind & _END) != 0)
+    after = mark + 1
+    quoted = np.flatnonzero(kind[after] & _CLOSER)
+    if len(quoted):
+        closer = np.flatnonzero((kind & _CLOSER) != 0)
+        last = np.flatnonzero(np.diff(closer, append=len(kind) + 1) > 1)  # of a run of closers
+        after[quoted] = closer[last[np.searchsorted(last, np.searchsorted(closer, after[quoted]))]] + 1
+    return mark[(kind[after] & _SPACE) != 0]
+
+
+def _breaks(kind: np.ndarray) -> np.ndarray:
+    """The first line end of each stretch of white space with more than one."""
+    line = np.flatnonzero((kind & _LINE) != 0)
+    more = ~np.logical_or.reduceat((kind & _SPACE) == 0, line)
+    more[-1] = False
+    return line[more & ~np.r_[False, more[:-1]]]
+
+
+def _before(place: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """How many of the places lie before each word."""
+    return np.cumsum(np.bincount(np.searchsorted(begin, place), minlength=len(begin))[: len(begin)])
+
+
 def tokens(texts: list[str]) -> Tokens:
     """Words are runs of letters and digits of the plain text (see `words.plain`), damaged encodings mended and markup left
     out first. A sentence ends at an end mark, perhaps with closing quotes or brackets, before white space, and at a blank
@@ -94,23 +128,20 @@ def tokens(texts: list[str]) -> Tokens:
     if not len(begin):
         return Tokens(np.array([], np.uint32), np.array([], np.int64), np.array([], np.int64))
     up, down = _powers(len(code))
-    parts = np.where(letter, code + 1, 0).astype(np.uint64) * up[: len(code)]
+    parts = code.astype(np.uint64)
+    parts += 1
+    parts *= letter
+    parts *= up[: len(code)]
     word = np.add.reduceat(parts, begin) * down[begin]
     word ^= word >> np.uint64(29)
     word = ((word * _MIX) >> np.uint64(32)).astype(np.uint32)
-    digits = np.cumsum((kind & _DIGIT) != 0, dtype=np.int32)
-    number = digits[end - 1] - digits[begin] + ((kind[begin] & _DIGIT) != 0) == end - begin
-    word = np.where(number, word & ~np.uint32(1), word | np.uint32(1))
-
-    mark = np.flatnonzero(kind & _END)
-    outside = np.flatnonzero((kind & _CLOSER) == 0)
-    mark = mark[(kind[outside[np.searchsorted(outside, mark + 1)]] & _SPACE) != 0] if len(mark) else mark
-    blank, after = groups((kind & _SPACE) != 0)
-    lines = np.r_[0, np.cumsum((kind & _LINE) != 0, dtype=np.int32)]
-    breaks = blank[lines[after] - lines[blank] > 1]
-    marks, block = np.searchsorted(mark, begin), np.searchsorted(breaks, begin)
+    word |= np.uint32(1)
+    word[_numbers(kind, begin, end)] &= ~np.uint32(1)
+
+    mark, breaks = _marks(kind), _breaks(kind)
+    marks, block = _before(mark, begin), _before(breaks, begin)
     length = np.fromiter(map(len, dressed), np.int64, len(dressed)) + 2
-    text = np.searchsorted(np.cumsum(length), begin, "right")
+    text = _before(np.cumsum(length), begin)
 
     sentence = marks + block
     first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
